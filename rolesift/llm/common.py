@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, chars: int = 4_00
             for at in range(0, batch.num_rows, rows):
                 yield batch.slice(at, rows)
             continue
-        sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()
+        sizes = pc.binary_length(batch.column(text)).fill_null(0).to_pylist()
         start = held = 0
         for at, n in enumerate(sizes):
             if at > start and (at - start >= rows or held + n > chars):
