@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolesift.llm import bpe
+from rolesift.llm import bpe, langid, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_byte_bpe": bpe.op4_byte_bpe,
+        "op5_language_id": langid.op5_language_id,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
