@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolesift.llm import bpe, langid, toxicity
+from rolesift.llm import bpe, decontamination, langid, minhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_minhash_dedup": minhash.op2_minhash_dedup,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op5_language_id": langid.op5_language_id,
+        "op9_decontamination": decontamination.op9_decontamination,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_decontamination": decontamination.ORACLE_SQL}
