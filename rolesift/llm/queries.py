@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolesift.llm import bpe, decontamination, langid, minhash, toxicity
+from rolesift.llm import bpe, decontamination, langid, lm, minhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_score": lm.op1_lm_score,
         "op2_minhash_dedup": minhash.op2_minhash_dedup,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op5_language_id": langid.op5_language_id,
