@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolesift.llm import bpe, decontamination, langid, lm, minhash, toxicity
+from rolesift.llm import bpe, decontamination, langid, lattice, lm, minhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_minhash_dedup": minhash.op2_minhash_dedup,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op5_language_id": langid.op5_language_id,
+        "op7_lattice_dedup": lattice.op7_lattice_dedup,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_toxicity": toxicity.op10_toxicity,
     }
