@@ -38,7 +38,7 @@ from rolesift.llm.minhash import mix
 class Params:
     cosine: float = 0.95
     tables: int = 16
-    scale: float = 1.5  # lattice units for a unit vector's projection
+    scale: float = 1.4  # lattice units for a unit vector's projection
     probes: int = 3  # neighbouring cells entered besides the own
     block: int = 512  # nodes compared with each other at once
     leader_rounds: int = 3

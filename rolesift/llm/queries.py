@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolesift.llm import bpe, decontamination, langid, lattice, lm, minhash, toxicity
+from rolesift.llm import bpe, decontamination, html_text, langid, lattice, lm, minhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_score": lm.op1_lm_score,
         "op2_minhash_dedup": minhash.op2_minhash_dedup,
+        "op3_html_text": html_text.op3_html_text,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op5_language_id": langid.op5_language_id,
         "op7_lattice_dedup": lattice.op7_lattice_dedup,
