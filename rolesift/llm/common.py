@@ -26,16 +26,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows written to the shared folder and read again: it cuts the lineage, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
-    """Removes the folder of a table from written(), once nothing reads it."""
+    """Removes the files of a table from written(), once nothing reads it."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolesift.llm import bpe, decontamination, html_text, langid, lattice, lm, minhash, toxicity
+from rolesift.llm import bpe, decontamination, html_text, langid, lattice, lm, minhash, token_shards, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_html_text": html_text.op3_html_text,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op5_language_id": langid.op5_language_id,
+        "op6_token_shards": token_shards.op6_token_shards,
         "op7_lattice_dedup": lattice.op7_lattice_dedup,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_toxicity": toxicity.op10_toxicity,
