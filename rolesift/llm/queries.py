@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolesift.llm import bpe, decontamination, html_text, langid, lattice, lm, minhash, token_shards, toxicity
+from rolesift.llm import bpe, decontamination, html_text, langid, lattice, licences, lm, minhash, token_shards, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": langid.op5_language_id,
         "op6_token_shards": token_shards.op6_token_shards,
         "op7_lattice_dedup": lattice.op7_lattice_dedup,
+        "op8_license_scan": licences.op8_license_scan,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_toxicity": toxicity.op10_toxicity,
     }
