@@ -13,7 +13,7 @@ SF = Path("/root/testdata/sf0.01")
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple("" if pd.isna(x) else f"{x:.6f}" if isinstance(x, float) else str(x) for x in r) for r in frame.astype(object).itertuples(index=False))
+    return sorted(tuple("" if pd.isna(x) else f"{x:.6f}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in r) for r in frame.astype(object).itertuples(index=False))
 
 
 @pytest.mark.skipif(not SF.exists(), reason="no test tables")
