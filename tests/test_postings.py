@@ -1,6 +1,8 @@
-"""Pay against cases of known outcome."""
+"""Pay and work model against cases of known outcome."""
 
-from rolesift.functions import pay
+from pyspark.sql import functions as F
+
+from rolesift.functions import pay, work
 
 TIERS = ["Standard areas: $152,100-$190,100. ", "Higher cost of living areas: $167,300 - $209,100. ", "Lower cost of living areas: $136,900-$171,100. "]
 PAY = {
@@ -30,8 +32,45 @@ PAY = {
     None: (None, None),
 }
 
+LONG = "plain words " * 200
+WORK = [
+    (("Hybrid", True, "San Francisco HQ", ""), "Hybrid"),
+    (("Remote", True, "Remote - US", ""), "Remote"),
+    (("Office", None, "Remote", "#LI-Remote"), "On-site"),
+    (("FullTime", None, "Remote", None), "Remote"),
+    ((None, True, "United States - Remote", ""), "Remote"),
+    ((None, None, "New York", ""), "On-site"),
+    ((None, None, None, None), "On-site"),
+    ((None, None, "Austin", "a hybrid work team #LI-Onsite"), "On-site"),
+    ((None, None, "Austin", "a hybrid work team #li-on-site"), "On-site"),
+    ((None, None, "Austin", "#LI-Hybrid"), "Hybrid"),
+    ((None, None, "Hybrid", "#LI-Remote"), "Remote"),
+    ((None, None, " United States ", "on-site"), "Remote"),
+    ((None, None, "nationwide", ""), "Remote"),
+    ((None, None, "Austin, United States", ""), "On-site"),
+    ((None, None, "Austin", "hybrid cloud"), "On-site"),
+    ((None, None, "Austin", LONG + "We are a hybrid team"), "Hybrid"),
+    ((None, None, "Austin", LONG + "hybrid environment"), "Hybrid"),
+    ((None, None, "Austin", "expected to work from the office 3+ days a week"), "Hybrid"),
+    ((None, None, "Austin", "three days per week"), "Hybrid"),
+    ((None, None, "Austin", "onsite Tuesday, Wednesday, and Thursday"), "Hybrid"),
+    ((None, None, "Austin", "in the office at least two days"), "Hybrid"),
+    ((None, None, "Austin", "in the office. Two days"), "On-site"),
+    ((None, True, "Austin", "plain"), "On-site"),
+    ((None, True, "Austin", "work from home"), "Remote"),
+    ((None, True, "Austin", "work from home or in person"), "On-site"),
+    ((None, True, "Austin", LONG + "remote"), "On-site"),
+    ((None, False, "Austin", "remote"), "On-site"),
+]
+
 
 def test_pay(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(PAY)], "i int, t string")
     got = {r.i: (r.p.low, r.p.high) for r in rows.select("i", pay.pay_range("t").alias("p")).collect()}
     assert {t: got[i] for i, t in enumerate(PAY)} == PAY
+
+
+def test_work_model(spark):
+    rows = spark.createDataFrame([(i, *r) for i, (r, _) in enumerate(WORK)], "i int, s string, f boolean, l string, b string")
+    got = {r.i: r.w for r in rows.select("i", work.work_model(F.col("s"), F.col("f"), F.col("l"), F.col("b")).alias("w")).collect()}
+    assert [(WORK[i], got[i]) for i in sorted(got) if WORK[i][1] != got[i]] == []
