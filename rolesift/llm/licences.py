@@ -1,16 +1,19 @@
 """Licence scans: TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest ancestor directory. DataFrame functions only.
 
-Units of a text are its lines, its paragraphs (lines up to an empty one) and the whole
-text. A unit is a vector of words (lower case, letters and digits) weighted by count times
-idf. Document frequencies are counted over all texts for the words of the templates; any
-other word weighs as one that no text holds, so it needs no count. A unit carries the
-template with the greatest cosine, if that is at least `similarity`; of equal ones the
-first name. The document's own licence is that of its best unit. A document whose whole
-text, or whose name, is that of a licence file is a licence file.
-
-Search: of each template the heaviest words are anchors, as many as leave the others with
-a share of its length below `similarity`. A unit without an anchor can't reach the
-threshold, so only units with one are cut into words.
+A licence has several templates: notices, titles, its standard header and its full text.
+Units of a text are its lines, windows of lines up to twice the longest header, its sentences, its paragraphs (lines up to
+an empty one) and the whole text. A unit is a vector of words (lower case, letters and
+digits) weighted by count times idf. Document frequencies are counted over all texts for
+the words of the templates; any other word weighs as one that no text holds, so it needs no
+count. Against notices, titles and headers, so does a word of full texts only. A unit carries the licence of the template with the greatest cosine, if that is at
+least `similarity`; of equal ones the first name. A unit that holds an SPDX line is decided
+by its identifier alone: a known one has cosine 1, another is no licence. The document's own
+licence is that of its best unit; reserved rights count only where no licence is granted. A
+document whose whole text, or whose name, is that of a licence file is a licence file.
+
+Search: of each template some words are anchors, as many as leave the others with a share
+of its length below `similarity`; words that few texts hold come first. A unit without an
+anchor can't reach the threshold, so only units with one are made and cut into words.
 
 Inheritance: a document without an own licence gets that of the nearest directory above it
 that holds a licence file with a licence; of several in one directory the greatest cosine,
@@ -26,7 +29,9 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from importlib import resources
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,29 +40,76 @@ from rolesift.llm.common import written
 #: Rows up to which a table of directories or ids is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
-# The names of public licences and a usual notice of each.
+#: Lines of a window. A header of up to 32 lines holds a window of two thirds of its lines.
+WINDOWS = (2, 3, 4, 6, 8, 12, 16, 24)
+
+#: Words from which a template counts as a full text.
+FULL_WORDS = 150
+
+RESERVED = "All-rights-reserved"
+
+
+def _gnu(kind: str, version: str, date: str) -> tuple[str, ...]:
+    name = f"GNU {kind} General Public License".replace("  ", " ")
+    header = (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {0} for more details. "
+        "You should have received a copy of the {0} along with this program. If not, see <https://www.gnu.org/licenses/>."
+    ).format(name, version)
+    first = header.split(". ")[0] + "."
+    return f"This work is licensed under the {name}, version {version}.", f"{name} Version {version}, {date}", f"Licensed under the {name} v{version}.0", header, first
+
+
+def _cc(code: str, name: str) -> tuple[str, ...]:
+    return f"Licensed under {code} 4.0.", f"Creative Commons {name} 4.0 International", f"This work is licensed under a Creative Commons {name} 4.0 International License."
+
+
+# The names of public licences with usual notices, titles and standard headers of each.
 NOTICES = {
-    "AGPL-3.0": "This program is licensed under the GNU Affero General Public License, version 3.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license. BSD 3-Clause License.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC0-1.0": "To the extent possible under law, the author has waived all copyright. CC0 1.0 Universal public domain dedication.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "All-rights-reserved": "All rights reserved.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "AGPL-3.0": ("This program is licensed under the GNU Affero General Public License, version 3.", *_gnu("Affero", "3", "19 November 2007")[1:]),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.",
+        "Apache License Version 2.0, January 2004",
+        "Apache License 2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    ),
+    "BSD-3-Clause": ("Use of this source code is governed by a BSD-style license. BSD 3-Clause License.", "BSD 3-Clause License", "Licensed under the BSD 3-Clause License."),
+    "CC-BY-4.0": _cc("CC BY", "Attribution"),
+    "CC-BY-NC-4.0": _cc("CC BY-NC", "Attribution-NonCommercial"),
+    "CC-BY-SA-4.0": _cc("CC BY-SA", "Attribution-ShareAlike"),
+    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright. CC0 1.0 Universal public domain dedication.", "CC0 1.0 Universal", "Creative Commons Legal Code CC0 1.0 Universal"),
+    "GPL-2.0": _gnu("", "2", "June 1991"),
+    "GPL-3.0": _gnu("", "3", "29 June 2007"),
+    "LGPL-3.0": _gnu("Lesser", "3", "29 June 2007"),
+    RESERVED: ("All rights reserved.",),
+    "MIT": (
+        "Released under the MIT License.",
+        "MIT License",
+        "The MIT License (MIT)",
+        "Licensed under the MIT License.",
+        "Use of this source code is governed by an MIT-style license.",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "Mozilla Public License Version 2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.", "The Unlicense"),
 }
 
 
+def templates() -> dict[str, tuple[str, ...]]:
+    """The notices and, where the package holds it, the full text of each licence."""
+    held = resources.files("rolesift.llm") / "licence_texts"
+    return {name: (*forms, *(f.read_text("utf-8") for f in [held / f"{name}.txt"] if f.is_file())) for name, forms in NOTICES.items()}
+
+
 @dataclass(frozen=True)
 class Params:
     similarity: float = 0.8
-    templates: dict[str, str] = field(default_factory=lambda: dict(NOTICES))
+    templates: dict[str, tuple[str, ...]] = field(default_factory=templates)
     file_name: str = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z]+)?$"
     salts: int = 16
 
@@ -67,65 +119,94 @@ def words_of(text: str | Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def units_of(text: str) -> Column:
-    """The different units of a text that are not blank: lines, paragraphs, the whole text; (unit, whole)."""
-    plain = F.regexp_replace(F.col(text), r"\r\n?", "\n")
-    parts = F.concat(F.split(plain, "\n"), F.split(plain, r"\n[ \t]*\n"))
-    made = F.transform(F.array_distinct(parts), lambda u: F.struct(u.alias("unit"), (u == plain).alias("whole")))
-    return F.concat(made, F.array(F.struct(plain.alias("unit"), F.lit(True).alias("whole"))))
+def units_of(rows: DataFrame, text: str, anchor: str, longest: int) -> DataFrame:
+    """(doc_id, unit, whole) of the different units of a text that hold an anchor: lines, windows of lines of at most `longest` characters, sentences, paragraphs, the whole text."""
+    # Each step is a column of its own: within a lambda an expression would be computed again for every element.
+    rows = rows.select("doc_id", F.regexp_replace(F.col(text), r"\r\n?", "\n").alias("plain"))
+    rows = rows.select("*", F.split("plain", "\n").alias("lines"), F.split("plain", r"\n[ \t]*\n").alias("paragraphs"))
+    rows = rows.select("*", F.size("lines").alias("n"), F.filter(F.transform("lines", lambda x, i: F.when(F.lower(x).rlike(anchor), i)), lambda i: i.isNotNull()).alias("hits"))
+    # A window is numbered by its first line and its size, so that those around several hits are made once.
+    starts = [F.filter(F.transform("hits", lambda h, k=k: F.when(F.col("n") >= k, F.sequence(F.greatest(h - (k - 1), F.lit(0)), F.least(h, F.col("n") - k)))), lambda x: x.isNotNull()) for k in WINDOWS]
+    rows = rows.select("*", F.array_distinct(F.concat(*(F.transform(F.flatten(x), lambda at, k=k: at.cast("long") * 64 + k) for k, x in zip(WINDOWS, starts, strict=True)))).alias("numbers"))
+    windows = F.transform("numbers", lambda w: F.array_join(F.slice("lines", F.floor(w / 64).cast("int") + 1, F.pmod(w, F.lit(64)).cast("int")), "\n"))
+    windows = F.filter(windows, lambda w: F.length(w) <= longest)
+    sentences = F.flatten(F.transform("paragraphs", lambda x: F.split(x, r"(?<=[.;:!?])\s+")))
+    rows = rows.select("doc_id", "plain", F.array_distinct(F.concat("lines", windows, sentences, "paragraphs", F.array("plain"))).alias("parts"))
+    return rows.select("doc_id", "plain", F.explode("parts").alias("unit")).where(F.lower("unit").rlike(anchor)).select("doc_id", "unit", (F.col("unit") == F.col("plain")).alias("whole"))
 
 
-def inline_rows(spark: SparkSession, names: tuple[str, ...], rows: list[tuple]) -> DataFrame:
-    """A small table of literals, part of the plan."""
-    return spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(x).alias(c) for c, x in zip(names, row, strict=True))) for row in rows))))
+@dataclass(frozen=True)
+class Weights:
+    names: list[str]  # the licence of each template
+    own: list[dict[str, float]]  # weights of each template's words at unit length
+    idf: dict[str, float]  # of the templates' words
+    unseen: float  # idf of a word that no text holds
+    held: dict[str, int]  # texts that hold a word
+    full: list[bool]  # whether a template is a full text
 
 
-def template_weights(docs: DataFrame, p: Params, text: str) -> tuple[dict[str, dict[str, float]], float, dict[str, float]]:
-    """Weights of each template's words at unit length, the idf of a word that no text holds, and the idf of the templates' words. As many rows as the templates have words come to the driver."""
+def template_weights(docs: DataFrame, p: Params, text: str) -> Weights:
+    """As many rows as the templates have words come to the driver."""
     spark = docs.sparkSession
-    found = inline_rows(spark, ("name", "notice"), sorted(p.templates.items())).select("name", F.explode(words_of("notice")).alias("word")).groupBy("name", "word").count().collect()
-    terms = sorted({r["word"] for r in found})
-    held = docs.select(F.array_intersect(words_of(text), F.lit(terms)).alias("w")).agg(F.count("*").alias("n"), *(F.count_if(F.array_contains("w", t)).alias(f"t{i}") for i, t in enumerate(terms))).first()
-    idf = lambda df: math.log((1 + held["n"]) / (1 + df)) + 1
-    known = {t: idf(held[f"t{i}"]) for i, t in enumerate(terms)}
-    out: dict[str, dict[str, float]] = {}
-    for name in sorted(p.templates):
-        own = {r["word"]: r["count"] * known[r["word"]] for r in found if r["name"] == name}
-        size = math.sqrt(sum(x * x for x in own.values()))
-        out[name] = {w: x / size for w, x in own.items()}
-    return out, idf(0), known
-
-
-def anchors_of(weights: dict[str, dict[str, float]], similarity: float) -> list[str]:
-    """Words one of which any unit at the threshold must hold."""
+    forms = [(name, form) for name in sorted(p.templates) for form in p.templates[name]]
+    table = spark.createDataFrame(pa.table({"i": range(len(forms)), "form": [form for _, form in forms]}))
+    counts: list[dict[str, int]] = [{} for _ in forms]
+    for r in table.select("i", F.explode(words_of("form")).alias("word")).groupBy("i", "word").count().collect():
+        counts[r["i"]][r["word"]] = r["count"]
+    terms = sorted({w for own in counts for w in own})
+    n = docs.count()
+    words = docs.select(F.explode(F.array_intersect(words_of(text), F.lit(terms))).alias("word"))
+    held = {r["word"]: r["count"] for r in words.groupBy("word").count().collect()}
+    idf = {t: math.log((1 + n) / (1 + held.get(t, 0))) + 1 for t in terms}
+    own = []
+    for c in counts:
+        size = math.sqrt(sum((k * idf[w]) ** 2 for w, k in c.items()))
+        own.append({w: k * idf[w] / size for w, k in c.items()})
+    return Weights([name for name, _ in forms], own, idf, math.log(1 + n) + 1, held, [sum(c.values()) >= FULL_WORDS for c in counts])
+
+
+def anchors_of(weights: Weights, similarity: float) -> list[str]:
+    """Words one of which any unit at the threshold must hold: of each template those that are in the fewest texts for their weight."""
     found: set[str] = set()
-    for own in weights.values():
+    for own in weights.own:
         left = 1.0
-        for word, x in sorted(own.items(), key=lambda r: (-r[1], r[0])):
+        for word, x in sorted(own.items(), key=lambda r: ((1 + weights.held.get(r[0], 0)) / r[1] ** 2, r[0])):
             if math.sqrt(max(left, 0.0)) < similarity - 1e-9:
                 break
             found.add(word)
             left -= x * x
-    return sorted(found)
+    return sorted(found | {"spdx"})
 
 
 def own_licences(docs: DataFrame, p: Params = Params(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, licence, cosine, whole) of each document with a licence of its own; whole: its whole text is the notice."""
     spark = docs.sparkSession
-    weights, unseen, idf = template_weights(docs, p, text)
+    weights = template_weights(docs, p, text)
     anchor = r"(?<![\p{L}\p{N}])(" + "|".join(anchors_of(weights, p.similarity)) + r")(?![\p{L}\p{N}])"
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("__text"))
     held = rows.where(F.lower("__text").rlike(anchor))
-    units = held.select("doc_id", F.explode(units_of("__text")).alias("u")).where(F.lower("u.unit").rlike(anchor)).select("doc_id", F.xxhash64("u.unit", F.length("u.unit")).alias("no"), "u.whole", words_of("u.unit").alias("w"))
+    # A window is for headers; one of twice the longest holds more than a header.
+    longest = 2 * max(len(form) for forms in p.templates.values() for form in forms if len(form.split()) < FULL_WORDS)
+    units = units_of(held, "__text", anchor, longest).select("doc_id", F.xxhash64("unit", F.length("unit")).alias("no"), "whole", "unit")
+    tag = r"(?i)spdx-license-identifier:[ \t(]*([a-z0-9.+-]+)"
+    ids = F.create_map(*(F.lit(x) for name in sorted(p.templates) if name != RESERVED for form in (name, f"{name}-only", f"{name}-or-later", f"{name}+") for x in (form.lower(), name)))
+    # An SPDX line speaks for itself; a whole text with one is still compared.
+    tagged = units.where(F.col("unit").rlike(tag)).select("doc_id", ids[F.lower(F.regexp_extract("unit", tag, 1))].alias("licence"), (F.col("whole") & ~F.trim("unit").contains("\n")).alias("whole")).where("licence is not null")
+    words = units.where(F.col("whole") | ~F.col("unit").rlike(tag)).select("doc_id", "no", "whole", words_of("unit").alias("w"))
     # A unit is counted in the task that holds its text; only its different words are shuffled.
-    counted = units.select("doc_id", "no", "whole", F.explode("w").alias("word")).groupBy("doc_id", "no", "whole", "word").agg(F.count("*").cast("double").alias("tf"))
-    idfs = F.broadcast(inline_rows(spark, ("word", "idf"), sorted(idf.items())))  # as many rows as the templates have words
-    vector = counted.join(idfs, "word", "left").select("doc_id", "no", "whole", "word", (F.col("tf") * F.coalesce("idf", F.lit(unseen))).alias("x"))
-    dots = {name: F.sum(F.col("x") * F.coalesce(*(F.when(F.col("word") == w, F.lit(x)) for w, x in sorted(own.items())), F.lit(0.0))).alias(name) for name, own in weights.items()}
-    scored = vector.groupBy("doc_id", "no", "whole").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("__size"), *dots.values())
-    best = F.greatest(*(F.struct(F.round(F.col(f"`{name}`") / F.col("__size"), 6).alias("cosine"), F.lit(-i).alias("first"), F.lit(name).alias("licence")) for i, name in enumerate(weights)))
-    top = scored.select("doc_id", "whole", best.alias("b")).where(F.col("b.cosine") >= p.similarity)
-    return top.groupBy("doc_id").agg(F.max("b").alias("b"), F.max("whole").alias("whole")).select("doc_id", "b.licence", "b.cosine", "whole")
+    counted = words.select("doc_id", "no", "whole", F.explode("w").alias("word")).groupBy("doc_id", "no", "whole", "word").agg(F.count("*").cast("double").alias("tf"))
+    # As many rows as the templates have words.
+    short = {w for own, full in zip(weights.own, weights.full, strict=True) if not full for w in own}
+    table = spark.createDataFrame(pa.table({"word": list(weights.idf), "idf": list(weights.idf.values()), "short": [x if w in short else weights.unseen for w, x in weights.idf.items()], "own": [[own.get(w, 0.0) for own in weights.own] for w in weights.idf]}))
+    weight = lambda c: F.col("tf") * F.coalesce(c, F.lit(weights.unseen))
+    vector = counted.join(F.broadcast(table), "word", "left").select("doc_id", "no", "whole", weight("idf").alias("x"), weight("short").alias("y"), "own")
+    dots = [F.coalesce(F.sum(F.col("x") * F.col("own")[i]), F.lit(0.0)).alias(f"d{i}") for i in range(len(weights.own))]
+    scored = vector.groupBy("doc_id", "no", "whole").agg(*(F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"__{c}") for c in "xy"), *dots)
+    cosines = F.array(*(F.struct(F.round(F.col(f"d{i}") / F.col("__x" if weights.full[i] else "__y"), 6).alias("cosine"), F.lit(-i).alias("first"), F.lit(name).alias("licence")) for i, name in enumerate(weights.names)))
+    top = scored.select("doc_id", "whole", F.array_max(cosines).alias("b")).where(F.col("b.cosine") >= p.similarity).select("doc_id", "b.licence", "b.cosine", "b.first", "whole")
+    top = top.unionByName(tagged.select("doc_id", "licence", F.lit(1.0).alias("cosine"), F.lit(1).alias("first"), "whole"))
+    best = F.struct((F.col("licence") != RESERVED).alias("granted"), "cosine", "first", "licence")
+    return top.groupBy("doc_id").agg(F.max(best).alias("b"), F.max("whole").alias("whole")).select("doc_id", "b.licence", "b.cosine", "whole")
 
 
 def directory(path: str) -> Column:
