@@ -50,7 +50,7 @@ STAGES = [
     ("byte_bpe", to_tokens),
 ]
 
-#: SQL can't express the classifiers, the signatures or the tokens; tests/llm compares with a brute-force version.
+#: SQL can't express the classifiers, the signatures or the tokens; no test runs the stages together yet.
 ORACLE_SQL = None
 
 
