@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -13,10 +15,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. Only where it is unset (a local test) one is made."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Only in local mode one is made where it is unset; elsewhere that is an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="rolesift-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -30,10 +34,32 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows written to the shared folder and read again: it cuts the lineage, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    with shuffles_freed(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark deletes a command's shuffle files when the command ends, not when the driver's garbage is collected."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def free_name(taken: Iterable[str], name: str) -> str:
+    """`name`, or the first of name_1, name_2, ... that no column has (column names compare without case)."""
+    known = {x.lower() for x in taken}
+    return next(x for x in itertools.chain([name], (f"{name}_{i}" for i in itertools.count(1))) if x.lower() not in known)
+
+
 def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
     """Removes the files of a table from written(), once nothing reads it."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
@@ -66,3 +92,13 @@ def crc_mod(column: str | Column, modulus: int) -> Column:
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     """The texts of a column, null as the empty text."""
     return ["" if x is None else x for x in batch.column(name).to_pylist()]
+
+
+#: Bytes of a table of ids (as estimated from its rows) up to which it is broadcast; larger ones are joined by shuffle. The rows found are the same.
+BROADCAST_BYTES = 16_000_000
+
+
+def sized(rows: DataFrame, width: int = 64) -> DataFrame:
+    """Marks a written table for broadcast where its rows, of about `width` bytes each, fit BROADCAST_BYTES."""
+    most = BROADCAST_BYTES // width
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows

@@ -14,12 +14,18 @@ time by which all components have one are not made.
 
 Candidates share a band of the signature. Texts that are equal word by word are one node,
 so that a group of copies costs one row. Within a bucket, each node is compared with the
-bucket's first node only; buckets that then still hold several components get further
-leaders, and at last all pairs of different components, so no candidate link is lost.
-Links are verified by the exact multisets.
-
-Cases: null texts and texts without words link with nothing. Rows with one doc_id are one
-document. Rows without doc_id link with nothing and stay. Other columns are never read.
+bucket's leader only, for a few rounds with other leaders; most nodes of a bucket then are
+in one component. At last every node outside the bucket's largest component is compared
+with all nodes of other components in the bucket: blocks of both are dealt over tasks, and
+only verified links leave a task, so no candidate link is lost and no pair is ever a row.
+Links are verified by the exact multisets of 64-bit shingle hashes, which are written once,
+for candidates only.
+
+Cases: null texts and texts without words link with nothing. Rows with one id are one
+document: each of its texts may link, and all of them share its class. Rows without an id
+link with nothing and stay. Ids may be of any type with an order; the least one names a
+class. Ties (equal texts) are one node. An empty table gives no rows. Other columns are
+never read, and may have any name.
 """
 
 from __future__ import annotations
@@ -29,25 +35,27 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rolesift.llm.common import slices, texts, written
+from rolesift.llm.common import drop_scratch, free_name, sized, slices, texts, written
 from rolesift.llm.components import components
 
-#: Ids up to which a table of ids is broadcast (8 bytes each); larger ones are joined by shuffle.
-BROADCAST_IDS = 2_000_000
-
 
 @dataclass(frozen=True)
 class Params:
     words: int = 5
     similarity: float = 0.8
-    bands: int = 24
-    rows: int = 4
+    bands: int = 20
+    rows: int = 6  # a pair at 0.8 shares a band with probability 0.998, one at 0.6 with 0.62, one at 0.4 with 0.08
     leader_rounds: int = 2
+    block: int = 256  # nodes compared with each other at once, and their bytes
+    block_bytes: int = 8_000_000
 
     @property
     def size(self) -> int:
@@ -154,95 +162,194 @@ def band_keys(signature: np.ndarray, p: Params) -> np.ndarray:
     return out.view(np.int64)
 
 
+def digests(rows: list[str]) -> np.ndarray:
+    """128-bit hashes of the texts' words in order, as two longs each."""
+    found = b"".join(xxhash.xxh3_128_digest(" ".join(words_of(x)).encode("utf-8", "surrogatepass")) for x in rows)
+    return np.frombuffer(found, ">i8").reshape(-1, 2).astype(np.int64)
+
+
 def signed(docs: DataFrame, p: Params, key: str, text: str) -> DataFrame:
-    """(id, h1, h2, bands): the hash of a text's words in order, and its band keys (null without words)."""
+    """(row, id, h1, h2, bands) of rows with an id: a number for the row, the hash of a text's words in order, and its band keys (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 33
         for part in slices(batches, rows=256, chars=1_000_000, text="__text"):
             rows = texts(part, "__text")
             bags = [bag(x, p.words) for x in rows]
             keys = band_keys(signatures(bags, p.size), p)
-            digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(" ".join(words_of(x)).encode("utf-8", "surrogatepass")) for x in rows), ">i8").reshape(-1, 2).astype(np.int64)
+            digest = digests(rows)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * p.bands), pa.array(keys.reshape(-1)), mask=pa.array([not len(e) for e, _ in bags]))
-            yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array(digest[:, 0]), pa.array(digest[:, 1]), bands], names=["id", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(at + np.arange(len(rows))), part.column("id"), pa.array(digest[:, 0]), pa.array(digest[:, 1]), bands], names=["row", "id", "h1", "h2", "bands"])
+            at += len(rows)
+
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("__text"))
+    schema = T.StructType([T.StructField("row", T.LongType()), rows.schema["id"], T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    return rows.mapInArrow(run, schema)
+
+
+def bags_of(nodes: DataFrame, docs: DataFrame, p: Params, key: str, text: str) -> DataFrame:
+    """(node, hashes, counts) of the nodes (node, id, h1, h2): sorted shingle hashes and their counts, as bytes. Texts are read once more, those of the nodes only."""
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("__text")).join(sized(nodes), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, rows=256, chars=1_000_000, text="__text"):
+            rows = texts(part, "__text")
+            found = digests(rows)
+            # One id may stand for several texts: the node's own is the one with its hash.
+            own = (found[:, 0] == np.asarray(part.column("h1"))) & (found[:, 1] == np.asarray(part.column("h2")))
+            bags = [bag(rows[i], p.words) for i in np.flatnonzero(own)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("node").filter(pa.array(own)), pa.array([e.tobytes() for e, _ in bags], pa.binary()), pa.array([w.astype("<i4").tobytes() for _, w in bags], pa.binary())],
+                names=["node", "hashes", "counts"],
+            )
+
+    return rows.mapInArrow(run, "node long, hashes binary, counts binary").groupBy("node").agg(F.first("hashes").alias("hashes"), F.first("counts").alias("counts"))
 
-    return docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text")).mapInArrow(run, "id long, h1 long, h2 long, bands array<bigint>")
 
+def _bag(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(hashes, "<u8"), np.frombuffer(counts, "<i4")
 
-def sized(ids: DataFrame) -> DataFrame:
-    """Marks a table of ids for broadcast if it is small enough."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
+def bag_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two bags of sorted hashes."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    both = int(np.minimum(a[1][i], b[1][j]).sum())
+    return both / max(1, int(a[1].sum()) + int(b[1].sum()) - both)
 
-def verified(pairs: DataFrame, docs: DataFrame, p: Params, key: str, text: str) -> DataFrame:
+
+def verified(pairs: DataFrame, bags: DataFrame, p: Params) -> DataFrame:
     """The pairs (a, b) whose exact similarity reaches the threshold."""
-    pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("__id")).distinct(), "ids")
-    found = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text")).join(sized(ids), "__id")
-    found = written(found.groupBy("__id").agg(F.min("__text").alias("__text")), "texts")
-    left, right = (found.select(F.col("__id").alias(x), F.col("__text").alias(f"{x}_text")) for x in ("a", "b"))
-    # The shuffle hint keeps a table of texts from ever being broadcast; large keys are split by the adaptive join.
+    left, right = (bags.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}"), F.col("counts").alias(f"c{x}")) for x in "ab")
+    # The hint keeps a table of bags from ever being broadcast; a leader with very many rows is split by the adaptive join.
     both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, rows=256):
-            known: dict[int, Counter] = {}
-            keep = []
-            for a, b, x, y in zip(*(part.column(c).to_pylist() for c in ("a", "b")), texts(part, "a_text"), texts(part, "b_text"), strict=True):
-                if a not in known:
-                    known = {a: shingle_counts(x, p.words)}
-                keep.append(similarity(known[a], shingle_counts(y, p.words)) >= p.similarity)
+            columns = [part.column(c).to_pylist() for c in ("ha", "ca", "hb", "cb")]
+            keep = [bag_similarity(_bag(ha, ca), _bag(hb, cb)) >= p.similarity - 1e-12 for ha, ca, hb, cb in zip(*columns, strict=True)]
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ha", "ca", "hb", "cb").mapInArrow(run, "a long, b long")
+
+
+def block_links(frame: pd.DataFrame, p: Params) -> pd.DataFrame:
+    """The links between the outer nodes of a block and the others of different components, by one inverted list of the outer nodes' shingles."""
+    outer = frame[frame["outer"]].drop_duplicates("node")
+    inner = frame[frame["inner"]].drop_duplicates("node")
+    bags = [_bag(h, c) for h, c in zip(outer["hashes"], outer["counts"], strict=True)]
+    out: list[tuple[int, int]] = []
+    if not bags or not len(inner):
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    owner = np.repeat(np.arange(len(bags)), [len(h) for h, _ in bags])
+    hashes, counts = np.concatenate([h for h, _ in bags]), np.concatenate([c for _, c in bags]).astype(np.int64)
+    order = np.argsort(hashes, kind="stable")
+    hashes, counts, owner = hashes[order], counts[order], owner[order]
+    size, names, labels = np.array([int(c.sum()) for _, c in bags]), outer["node"].to_numpy(), outer["label"].to_numpy()
+    for node, label, h, c in zip(inner["node"], inner["label"], inner["hashes"], inner["counts"], strict=True):
+        h, c = _bag(h, c)
+        first, last = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+        times = last - first
+        at = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+        both = np.bincount(owner[at], weights=np.minimum(counts[at], np.repeat(c, times)), minlength=len(bags))
+        near = np.flatnonzero((both / (size + int(c.sum()) - both) >= p.similarity - 1e-12) & (labels != label))
+        out += [(min(node, names[i]), max(node, names[i])) for i in near]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def placed_in(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, node, label): the members of buckets with their component so far."""
+    return members.select("key", "node").join(label.withColumnRenamed("component", "label"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+
+
+def open_buckets(members: DataFrame, label: DataFrame, turn: int) -> DataFrame:
+    """(key, node, label, lead) of the buckets that hold several components; lead: another (node, label) of the bucket each turn."""
+    placed = placed_in(members, label)
+    mixed = placed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("lead")).where("least < most").select("key", "lead")
+    return placed.join(mixed, "key")
+
+
+def remaining_blocks(members: DataFrame, label: DataFrame, weight: DataFrame, p: Params) -> DataFrame:
+    """(key, x, y, node, label, outer, inner): of each bucket with several components, blocks of its outer nodes (those outside its largest component) against blocks of all its nodes. weight: (node, bytes)."""
+    placed = open_buckets(members, label, 0).select("key", "node", "label").join(weight, "node")
+    groups = placed.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    largest = groups.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    top = groups.join(largest.select("key", "top.label"), ["key", "label"]).select("key", F.col("n").alias("n_top"), F.col("bytes").alias("bytes_top"))
+    plan = written(
+        largest.join(top, "key").select(
+            "key",
+            F.col("top.label").alias("top"),
+            F.ceil(F.greatest((F.col("n") - F.col("n_top")) / p.block, (F.col("bytes") - F.col("bytes_top")) / p.block_bytes)).cast("int").alias("outers"),
+            F.ceil(F.greatest(F.col("n") / p.block, F.col("bytes") / p.block_bytes)).cast("int").alias("inners"),
+        ),
+        "blocks",
+    )
+    rows = placed.join(plan, "key").withColumn("outer", F.col("label") != F.col("top"))
+    deal = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    inner = rows.select("key", each("outers").alias("x"), deal("inners", 1).alias("y"), "node", "label", F.lit(False).alias("outer"), F.lit(True).alias("inner"))
+    outer = rows.where("outer").select("key", deal("outers", 2).alias("x"), each("inners").alias("y"), "node", "label", F.lit(True).alias("outer"), F.lit(False).alias("inner"))
+    return inner.unionByName(outer)
+
+
+def node_links(members: DataFrame, bags: DataFrame, p: Params) -> DataFrame:
+    """(a, b): verified links, enough of them to join all nodes that any chain of candidate links joins. members: (key, leader, node)."""
+    spark = members.sparkSession
+    links = written(verified(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), bags, p), "links")
+    for turn in range(1, p.leader_rounds + 1):
+        label = written(components(links), "labels")
+        rows = open_buckets(members, label, turn).where("label <> lead.label")
+        pairs = rows.select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")).distinct()
+        links = written(links.unionByName(verified(pairs, bags, p)), "links")
+        drop_scratch(spark, label)
+    label = written(components(links), "labels")
+    weight = bags.select("node", (F.length("hashes") + F.length("counts")).cast("long").alias("bytes"))
+    blocks = written(remaining_blocks(members, label, weight, p), "remaining")
+    schema = "a long, b long"
+    last = blocks.join(bags.hint("merge"), "node").groupBy("key", "x", "y").applyInPandas(lambda frame: block_links(frame, p), schema)
+    return written(links.unionByName(last.distinct()), "links")
 
 
 def classes(docs: DataFrame, p: Params = Params(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id) for every different doc_id: class_id is the least doc_id that it links with, over any number of links."""
-    table = written(signed(docs, p, key, text), "signed").where("id is not null")
-    # Copies: one node for each text, named by its least id. Copies within a task meet before the shuffle.
-    nodes = written(table.where("bands is not null").groupBy("h1", "h2").agg(F.min(F.struct("id", "bands")).alias("n")).select("h1", "h2", F.col("n.id").alias("node"), F.col("n.bands").alias("bands")), "nodes")
-    copies = table.where("bands is not null").select("id", "h1", "h2").join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    """(key, class_id) for every different id: class_id is the least id that it links with, over any number of links."""
+    spark = docs.sparkSession
+    table = written(signed(docs, p, key, text), "signed")
+    # Copies: one node for each text, named by the least of its rows' numbers. Copies within a task meet before the shuffle.
+    nodes = written(table.where("bands is not null").groupBy("h1", "h2").agg(F.min(F.struct("row", "id", "bands")).alias("n")).select("h1", "h2", F.col("n.row").alias("node"), F.col("n.id").alias("id"), F.col("n.bands").alias("bands")), "nodes")
     entries = nodes.select("node", F.explode("bands").alias("key"))
     shared = written(entries.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader"), "shared")
     # Only entries of buckets with company go on; most buckets hold one node.
     members = written(entries.join(shared, "key").select("key", "leader", "node"), "members")
-    links = written(verified(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), docs, p, key, text), "links")
-    label = None
-    for turn in range(1, p.leader_rounds + 2):
-        label = written(components(links), "labels")
-        placed = members.select("key", "node").join(label.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = placed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("lead")).where("least < most").select("key", "lead")
-        open_ = written(placed.join(mixed, "key"), "open")
-        if turn <= p.leader_rounds:
-            pairs = open_.where("label <> lead.label").select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
-        else:
-            # What is left: all pairs of different components that share a bucket.
-            x, y = open_.select("key", F.col("node").alias("a"), F.col("label").alias("la")), open_.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-            pairs = x.join(y, "key").where("la < lb").select("a", "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = written(verified(pairs, docs, p, key, text), "links")
-        if new.isEmpty():
-            if turn > p.leader_rounds:
-                break
-            continue
-        links = written(links.unionByName(new), "links")
-        if turn > p.leader_rounds:
-            label = written(components(links), "labels")
-    # Nodes join by label, copies by their node; ids that stand for several texts join them.
-    final = components(copies.unionByName(label.select(F.col("component").alias("a"), F.col("node").alias("b"))))
-    return table.select("id").distinct().join(final, F.col("id") == F.col("node"), "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "id").alias("class_id"))
+    candidates = written(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "id", "h1", "h2"), "candidates")
+    bags = written(bags_of(candidates, docs, p, key, text), "bags", "zstd")
+    links = node_links(members, bags, p)
+    for gone in (members, shared, candidates, bags):
+        drop_scratch(spark, gone)
+    # Each id with its nodes; an id of several texts joins them.
+    of = written(table.where("bands is not null").select("id", "h1", "h2").distinct().join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("id", "node"), "of")
+    several = of.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("id", "a")
+    links = links.unionByName(of.join(several, "id").where("node <> a").select("a", F.col("node").alias("b")))
+    label = written(components(links), "labels")
+    named = of.join(label, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
+    least = written(named.groupBy("component").agg(F.min("id").alias("class_id")), "least")
+    found = written(named.join(least, "component").groupBy("id").agg(F.min("class_id").alias("class_id")), "found")
+    rest = table.select("id").distinct().join(found, "id", "left")
+    return rest.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"))
 
 
 def deduplicated(docs: DataFrame, p: Params = Params(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class, the one with the least id, with all its columns. Rows without an id stay."""
+    """The rows of the document with the least id of each class, with all their columns; of an id's rows with the same words one stays, every different text does. Rows without an id stay."""
     found = written(classes(docs, p, key=key, text=text), "classes")
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(sized(gone), F.col(key) == F.col("__gone"), "left_anti")
-    repeats = docs.where(F.col(key).isNotNull()).count() > found.count()
-    if repeats:
-        kept = kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))
-    return kept
+    name, mark = free_name(docs.columns, "gone"), free_name(docs.columns, "repeat")
+    gone = written(found.where(F.col(key) != F.col("class_id")).select(F.col(key).alias(name)), "gone")
+    kept = docs.join(sized(gone), F.col(key) == F.col(name), "left_anti")
+    repeats = written(docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(name)).count().where("count > 1").select(name), "repeats")
+    if repeats.isEmpty():
+        return kept
+    # Rows that repeat an id and a text, word by word: one of them stays.
+    again = kept.join(sized(repeats), F.col(key) == F.col(name), "left_semi")
+    window = Window.partitionBy(F.col(key), F.sha2(F.regexp_replace(F.trim(F.lower(F.coalesce(F.col(text), F.lit("")))), r"\s+", " "), 256)).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    again = again.withColumn(mark, F.row_number().over(window)).where(F.col(mark) == 1).drop(mark)
+    return kept.join(sized(repeats), F.col(key) == F.col(name), "left_anti").unionByName(again)
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Characters of a text that are hashed at once; longer texts go block by block.
 BLOCK = 1 << 20
@@ -65,32 +66,55 @@ class Distinct:
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-VECTOR_SCHEMA = "piece int, sums binary"
+VECTOR_SCHEMA = "piece int, share int, sums binary"
+
+#: Tasks' vectors are first added within so many shares, so that no group holds more than a share of the tasks' pieces.
+SHARES = 64
 
 
 def pieces_of(vector: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of VECTOR_SCHEMA for one partition's int64 vector, without its empty pieces."""
+    share = TaskContext.get().partitionId() % SHARES
     keys, values = [], []
     for k in range(0, len(vector), PIECE):
         part = vector[k : k + PIECE]
         if part.any():
+            small = np.abs(part).max() < 1 << 31
             keys.append(k // PIECE)
-            values.append(part.astype("<i8").tobytes())
+            values.append(part.astype("<i4" if small else "<i8").tobytes() + (b"4" if small else b"8"))
     if keys:
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(values, pa.binary())], names=["piece", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([share] * len(keys), pa.int32()), pa.array(values, pa.binary())], names=["piece", "share", "sums"])
 
 
-def summed(rows: DataFrame, size: int) -> np.ndarray:
-    """The sum of all partitions' vectors. Every partition sends at most size / PIECE rows, and the driver gets one vector of a fixed size."""
+def _numbers(x: bytes) -> np.ndarray:
+    return np.frombuffer(x[:-1], "<i4" if x[-1:] == b"4" else "<i8")
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of equal pieces that stand one after the other; one vector is held at a time."""
+    key, total = None, np.zeros(PIECE, np.int64)
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(PIECE, np.int64)
-        for x in frame["sums"]:
-            part = np.frombuffer(x, "<i8")
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.astype("<i8").tobytes() + b"8"], pa.binary())], names=["piece", "share", "sums"])
+
+    for b in batches:
+        for piece, share, x in zip(*(b.column(c).to_pylist() for c in ("piece", "share", "sums")), strict=True):
+            if (piece, share) != key:
+                if key is not None:
+                    yield out()
+                key, total = (piece, share), np.zeros(PIECE, np.int64)
+            part = _numbers(x)
             total[: len(part)] += part
-        return pd.DataFrame({"piece": [frame["piece"].iloc[0]], "sums": [total.tobytes()]})
+    if key is not None:
+        yield out()
+
 
+def summed(rows: DataFrame, size: int) -> np.ndarray:
+    """The sum of all partitions' vectors, in two steps: within shares of the tasks, then over the shares. The driver gets one vector of a fixed size."""
+    added = rows.repartition("piece", "share").sortWithinPartitions("piece", "share").mapInArrow(_added, VECTOR_SCHEMA)
+    added = added.withColumn("share", F.lit(0)).repartition("piece").sortWithinPartitions("piece").mapInArrow(_added, VECTOR_SCHEMA)
     out = np.zeros(-(-size // PIECE) * PIECE, np.int64)
-    for row in rows.groupBy("piece").applyInPandas(add, VECTOR_SCHEMA).toLocalIterator():
-        out[row["piece"] * PIECE : (row["piece"] + 1) * PIECE] = np.frombuffer(row["sums"], "<i8")
+    for row in added.toLocalIterator():
+        part = _numbers(bytes(row["sums"]))
+        out[row["piece"] * PIECE : row["piece"] * PIECE + len(part)] = part
     return out[:size]
