@@ -7,15 +7,17 @@ vector is also entered into the neighbouring cells whose points are nearly as ne
 the cosine in double precision.
 
 Equal vectors are one node with a number of copies. In a cell, each node is compared with
-the cell's first node; cells that then hold several components get further leaders, and at
-last all pairs of different components. So components are found with a few comparisons a
-node. The number of links is then counted inside each component, block against block, and
-no pair is ever a row.
+the cell's leader, for a few rounds with other leaders; then the nodes outside a cell's
+largest component are compared with all others of the cell, in blocks dealt over tasks that
+send out verified links only. The number of links is then counted inside each component,
+block against block, and no pair is ever a row.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing and are components of their own, and so do vectors of another length than
-the compared one. Rows with one vec_id are one vector, the one with the smallest
-components. Rows without vec_id keep a null component. Other columns are never read.
+the compared one. Rows with one id are one vector, the one with the smallest
+components. Rows without an id are left out. Ids may be of any type with an order. Ties
+(equal vectors) are one node, and link with each other. An empty table gives no rows.
+Other columns are never read, and may have any name.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rolesift.llm.common import written
+from rolesift.llm.common import drop_scratch, written
 from rolesift.llm.components import components
-from rolesift.llm.minhash import mix
+from rolesift.llm.minhash import mix, open_buckets, remaining_blocks
 
 
 @dataclass(frozen=True)
@@ -40,8 +43,9 @@ class Params:
     tables: int = 16
     scale: float = 1.4  # lattice units for a unit vector's projection
     probes: int = 3  # neighbouring cells entered besides the own
-    block: int = 512  # nodes compared with each other at once
-    leader_rounds: int = 3
+    block: int = 2048  # nodes compared with each other at once, and their bytes
+    block_bytes: int = 16_000_000
+    leader_rounds: int = 2
     seed: int = 7
 
 
@@ -124,8 +128,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack([np.frombuffer(x, "<f8") for x in column.to_pylist()])
 
 
-def nodes_of(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, unit): a normalised vector for each id that has a usable one; unit is its doubles as bytes."""
+def units_of(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, unit, row): a normalised vector for each id (null where it can link with nothing), its doubles as bytes, and a number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,8 +138,9 @@ def nodes_of(vectors: DataFrame, key: str, vector: str) -> DataFrame:
                 units = [usable(x) for x in b.column("v").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([None if u is None else u.astype("<f8").tobytes() for u in units], pa.binary())], names=["id", "unit"])
 
-    rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    return rows.mapInArrow(run, "id long, unit binary").groupBy("id").agg(F.min("unit").alias("unit"))
+    rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    schema = T.StructType([rows.schema["id"], T.StructField("unit", T.BinaryType())])
+    return rows.mapInArrow(run, schema).groupBy("id").agg(F.min("unit").alias("unit")).withColumn("row", F.monotonically_increasing_id())
 
 
 def linked(pairs: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
@@ -153,11 +158,26 @@ def linked(pairs: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
     return pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "ua", "ub").mapInArrow(run, "a long, b long")
 
 
+def block_links(frame: pd.DataFrame, p: Params) -> pd.DataFrame:
+    """The links between the outer nodes of a block and the others of different components."""
+    out = []
+    for _, part in frame.groupby(frame["unit"].map(len)):
+        outer, inner = part[part["outer"]].drop_duplicates("node"), part[part["inner"]].drop_duplicates("node")
+        if not len(outer) or not len(inner):
+            continue
+        x, y = (np.stack([np.frombuffer(u, "<f8") for u in side["unit"]]) for side in (outer, inner))
+        near = (x @ y.T >= p.cosine) & (outer["label"].to_numpy()[:, None] != inner["label"].to_numpy()[None, :])
+        i, j = np.nonzero(near)
+        a, b = outer["node"].to_numpy()[i], inner["node"].to_numpy()[j]
+        out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}))
+    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+
 def link_components(vectors: DataFrame, p: Params, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
     """(ids with their node, nodes with copies, vector and component)"""
-    units = written(nodes_of(vectors, key, vector), "units")
-    usable_units = units.where("unit is not null")
-    nodes = written(usable_units.groupBy("unit").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "nodes")
+    spark = vectors.sparkSession
+    units = written(units_of(vectors, key, vector), "units")
+    nodes = written(units.where("unit is not null").groupBy("unit").agg(F.min("row").alias("node"), F.count("*").alias("copies")), "nodes")
     ids = units.join(nodes.select("unit", "node"), "unit", "left").select("id", "node")
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,24 +192,22 @@ def link_components(vectors: DataFrame, p: Params, key: str, vector: str) -> tup
                     keys = cells(_matrix(part.column("unit")), p).reshape(len(rows), -1)
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(part.column("node")), keys.shape[1])), pa.array(keys.reshape(-1))], names=["node", "key"])
 
-    entries = nodes.select("node", "unit").mapInArrow(enter, "node long, key long").distinct()
+    # A vector's cells differ from table to table and from each other, so no entry repeats.
+    entries = written(nodes.select("node", "unit").mapInArrow(enter, "node long, key long"), "entries")
     shared = entries.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
     members = written(entries.join(shared, "key"), "members")
+    drop_scratch(spark, entries)
     links = written(linked(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes, p), "links")
+    for turn in range(1, p.leader_rounds + 1):
+        label = written(components(links), "labels")
+        pairs = open_buckets(members, label, turn).where("label <> lead.label").select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")).distinct()
+        links = written(links.unionByName(linked(pairs, nodes, p)), "links")
+    label = written(components(links), "labels")
+    blocks = written(remaining_blocks(members, label, nodes.select("node", F.length("unit").cast("long").alias("bytes")), p), "remaining")
+    last = blocks.join(nodes.select("node", "unit").hint("merge"), "node").groupBy("key", "x", "y").applyInPandas(lambda frame: block_links(frame, p), "a long, b long")
+    links = written(links.unionByName(last.distinct()), "links")
     label = written(components(links), "labels")
-    for turn in range(1, p.leader_rounds + 2):
-        placed = members.select("key", "node").join(label.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = placed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("lead")).where("least < most").select("key", "lead")
-        open_ = written(placed.join(mixed, "key"), "open")
-        if turn <= p.leader_rounds:
-            pairs = open_.where("label <> lead.label").select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
-        else:
-            x, y = open_.select("key", F.col("node").alias("a"), F.col("label").alias("la")), open_.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-            pairs = x.join(y, "key").where("la < lb").select("a", "b")
-        new = written(linked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, p), "links")
-        if not new.isEmpty():
-            links = written(links.unionByName(new), "links")
-            label = written(components(links), "labels")
+    drop_scratch(spark, members)
     placed = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return ids, written(placed, "placed")
 
@@ -229,11 +247,12 @@ def link_counts(placed: DataFrame, p: Params) -> DataFrame:
 
 
 def near_duplicates(vectors: DataFrame, p: Params = Params(), *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id) for every different vec_id."""
+    """(key, n_links, component_id) for every different id."""
     ids, placed = link_components(vectors, p, key, vector)
     counts = written(link_counts(placed, p), "link_counts")
-    known = placed.select("node", "component").join(counts, "node")
-    return ids.join(known, "node", "left").select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    known = written(ids.join(placed.select("node", "component").join(counts, "node"), "node", "left").select("id", "component", "n_links"), "known")
+    least = written(known.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id")), "least")
+    return known.join(least, "component", "left").select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def op7_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
