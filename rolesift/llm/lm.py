@@ -1,26 +1,33 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-log P(text) is the sum over its tokens of log P(class | history) + log P(token | class).
-
-Classes: the most frequent tokens are classes of their own; the other frequent tokens are
-clustered by their neighbours' hashed counts; every other word gets the cluster that its
-first and last letters suggest (naive Bayes over the clustered words). The class softmax
-has weights for hashed features of the history: the tokens one, two (skip) and three
-(skip) before, and the pair and triple of classes before. Within a class a token has its
-smoothed share of the class's training tokens; a word that was never seen has the share
-of a word seen zero times.
-
-Counts (exact, by a 64-bit hash of the token), neighbours and class totals cover all
-training tokens. The weights are trained by distributed gradient updates: in each round
-every partition runs Adagrad over its own part of the training tokens, from the common
-weights, and the results are averaged by tokens; every training token is used once.
-
-Only tables of a fixed size are broadcast: weights, clusters and the most frequent words.
-Rarer words' counts are joined by shuffle.
+Words stand in the order of their endings, and that order is cut into leaves: a frequent
+word is a leaf of its own, and the rest is cut where a fair share of the training tokens is
+full. Any word, seen or not, falls into one leaf. Leaves are numbered in base 16 (class,
+class within it, leaf within that), and
+
+    P(token | history) = P(class | h) P(inner class | class, h) P(leaf | inner class, h) P(token | leaf)
+
+Each of the first three factors is a softmax over 16 outcomes with weights for hashed
+features of the history: the tokens one, two (skip) and three (skip) before, the pair and
+the triple before, each together with the classes chosen so far, in a table of hashed rows.
+Its start are the exact log shares of the outcomes, so that without features the model is
+the unigram model. Within a leaf a token has its smoothed share of the leaf's training
+tokens; a frequent word's leaf holds that word (and words of the same last eight bytes)
+alone, so its whole probability comes from the softmaxes. A word that was never seen has
+the share of a word seen zero times.
+
+Counts (exact, by a 64-bit hash of the token) and leaf totals cover all training tokens.
+The weights are trained by distributed gradient updates: in each round every partition runs
+Adagrad over its own part of the training tokens, from the common weights, and the changes
+are averaged by tokens; every training token is used once.
+
+Only tables of a fixed size are broadcast: weights, leaf bounds and the most frequent
+words. Rarer words' counts are joined by shuffle.
 
 Cases: null and empty texts are one end token. Repeated rows are scored alike, and are
-counted as often as they occur. Without training texts every token is unseen. Other
-columns are never read.
+counted as often as they occur. Ties (words of one count) are all frequent or all rarer.
+Without training texts every token is unseen. An empty table gives no rows. Other columns
+are never read, and may have any name but those of the results, which are replaced.
 """
 
 from __future__ import annotations
@@ -34,38 +41,40 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rolesift.llm import ngrams
-from rolesift.llm.common import crc_mod, slices, texts, written
+from rolesift.llm.common import crc_mod, free_name, slices, texts, written
 
 END = b" "  # no word can be this
+WIDTH = 16  # outcomes of a softmax
+LEVELS = 3
+FEATURES = 5
 
 
 @dataclass(frozen=True)
 class Params:
     head_words: int = 1 << 17  # words whose counts are broadcast
-    clustered: int = 4096  # most frequent words, clustered by neighbours
-    own_features: int = 2048  # most frequent words that are features themselves
-    singletons: int = 24  # most frequent tokens that are classes of their own
-    clusters: int = 40
-    neighbours: int = 64  # hashed neighbours on each side
-    triples: int = 4096
+    own_leaves: int = 1024  # most frequent words that are leaves of their own
+    leaves: int = WIDTH**LEVELS
+    rows: int = 1 << 15  # hashed rows of a level's weights, at most 2^16
     rounds: int = 2
-    rate: float = 0.15
+    rate: float = 0.1
     batch: int = 4096
     flush: int = 200_000
 
-    @property
-    def classes(self) -> int:
-        return self.singletons + self.clusters
+
+class _Numbers(dict):
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        return n
 
 
 class Block:
     """The tokens of some texts: ids into the different words of the block, each text after three starts and with its end."""
 
     def __init__(self, rows: list[str]):
-        known: dict[bytes, int] = {END: 0}
-        get = _Numbers(known)
+        get = _Numbers({END: 0})
         pads, ids, starts = [-1, -1, -1], [], []
         for x in rows:
             words = x.encode("utf-8", "surrogatepass").lower().split()
@@ -75,99 +84,81 @@ class Block:
             ids.append(0)
         self.words = list(get)
         self.ids = np.array(ids, np.int64)
-        self.starts = np.array(starts, np.int64)
         self.at = np.flatnonzero(self.ids >= 0)  # places of tokens
+        self.token = self.ids[self.at]
         self.doc = np.repeat(np.arange(len(rows)), np.diff([*starts, len(ids) + 3]) - 3) if rows else np.zeros(0, np.int64)
         self.hash = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words)).view(np.int64)
 
 
-class _Numbers(dict):
-    def __missing__(self, key: bytes) -> int:
-        self[key] = n = len(self)
-        return n
-
-
-def spelling(words: list[bytes]) -> np.ndarray:
-    """First two and three, last two and three bytes of words, hashed to 12 bits each, in one number."""
-    data = np.frombuffer(b"".join(words) + b"\0\0\0", np.uint8).astype(np.uint64)
+def endings(words: list[bytes]) -> np.ndarray:
+    """The last eight bytes of each word backwards, as one number: words in the order of their endings."""
+    data = np.frombuffer(b"".join(words), np.uint8).astype(np.uint64)
     size = np.fromiter(map(len, words), np.int64, len(words))
-    start = np.cumsum(size) - size
-    last = start + size - 1
-    byte = lambda at, ok: np.where(ok, data[np.clip(at, 0, len(data) - 1)], np.uint64(0))
-    a, b, c = byte(start, size > 0), byte(start + 1, size > 1), byte(start + 2, size > 2)
-    z, y, x = byte(last, size > 0), byte(last - 1, size > 1), byte(last - 2, size > 2)
+    last = np.cumsum(size) - 1
     out = np.zeros(len(words), np.uint64)
-    for k, v in enumerate((a << np.uint64(8) | b, a << np.uint64(16) | b << np.uint64(8) | c, y << np.uint64(8) | z, x << np.uint64(16) | y << np.uint64(8) | z)):
-        out |= ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)) << np.uint64(12 * k)
-    return out.view(np.int64)
+    for k in range(8):
+        out = out << np.uint64(8) | np.where(size > k, data[np.maximum(last - k, 0)], np.uint64(0))
+    return out
 
 
 @dataclass(frozen=True)
 class Words:
-    """The most frequent words by hash, and how to class any word."""
+    """The most frequent words by hash with their counts, and the leaves' bounds."""
 
     hash: np.ndarray  # sorted
     count: np.ndarray
-    rank: np.ndarray
-    cls: np.ndarray
-    by_spelling: np.ndarray  # 4 x 4096 x clusters
-    p: Params
+    bounds: np.ndarray  # leaf of an ending: how many bounds are at or below it
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, whether it is there)"""
+        """(count or 0, whether it is there)"""
         if not len(self.hash):
             return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
         at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
-        return at, self.hash[at] == hashes
+        there = self.hash[at] == hashes
+        return np.where(there, self.count[at], 0), there
 
-    def classes(self, hashes: np.ndarray, spelled: np.ndarray) -> np.ndarray:
-        at, there = self.find(hashes)
-        out = np.zeros(len(hashes), np.int64)
-        if len(self.hash):
-            out[there] = self.cls[at[there]]
-        rest = np.flatnonzero(~there | (out < 0))
-        if rest.size:
-            s = spelled[rest].view(np.uint64)
-            score = sum(self.by_spelling[k][((s >> np.uint64(12 * k)) & np.uint64(4095)).astype(np.int64)] for k in range(4))
-            out[rest] = self.p.singletons + score.argmax(axis=1)
-        return out
+    def leaf(self, ending: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, ending, "right")
 
 
 @dataclass(frozen=True)
 class Model:
     params: Params
     words: Words
-    weights: np.ndarray  # features x classes
-    log_total: np.ndarray  # log10 of each class's denominator; 0 for classes of one token
+    start: list[np.ndarray]  # for each level: contexts x WIDTH, log shares
+    weights: np.ndarray  # LEVELS x rows x WIDTH
+    log_total: np.ndarray  # log10 of each leaf's denominator
     tokens: int
     distinct: int
     counts: DataFrame  # h, c
 
 
-def features(block: Block, words: Words, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(five feature rows a token, class of each token, class of each different word)."""
-    cls = words.classes(block.hash, spelling(block.words))
-    at, there = words.find(block.hash)
-    own = p.own_features
-    rank = np.where(there, words.rank[at] if len(words.hash) else own, own)
-    feature = np.where(rank < own, rank, own + cls)
-    n, c = own + p.classes + 1, p.classes + 1
-    f = np.append(feature, n - 1)[block.ids]  # -1, a start, takes the last
-    k = np.append(cls, c - 1)[block.ids]
+def history(block: Block) -> np.ndarray:
+    """A 32-bit hash of each feature of each token (tokens x FEATURES)."""
+    h = np.append((block.hash.view(np.uint64) >> np.uint64(32)).astype(np.uint32), np.uint32(0x5EED))[block.ids]  # a start takes the last
     t = block.at
-    f1, f2, f3, k1, k2, k3 = f[t - 1], f[t - 2], f[t - 3], k[t - 1], k[t - 2], k[t - 3]
-    triple = ((k3 * c + k2) * c + k1) * 0x9E3779B1 % 2**32 >> 12
-    rows = np.stack([f1, n + f2, 2 * n + f3, 3 * n + k2 * c + k1, 3 * n + c * c + triple % p.triples], axis=1)
-    return rows, cls[block.ids[t]], cls
+    a, b, c = h[t - 1], h[t - 2], h[t - 3]
+    pair = (a * np.uint32(0x9E3779B1)) ^ (b + np.uint32(0x85EBCA6B))
+    triple = (pair * np.uint32(0xC2B2AE35)) ^ (c + np.uint32(0x27D4EB2F))
+    return np.stack([a, b * np.uint32(3) + np.uint32(1), c * np.uint32(5) + np.uint32(2), pair, triple], axis=1)
+
 
+def level_rows(features: np.ndarray, context: np.ndarray, level: int, rows: int) -> np.ndarray:
+    """The weight rows of each token at a level, given the classes chosen so far."""
+    h = features ^ ((context.astype(np.uint32) + np.uint32(level * 65537)) * np.uint32(0x9E3779B1))[:, None]
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    h = (h ^ (h >> np.uint32(12))) * np.uint32(0x297A2D39)
+    return (h >> np.uint32(8)).astype(np.uint16) & np.uint16(rows - 1)
 
-def feature_rows(p: Params) -> int:
-    return 3 * (p.own_features + p.classes + 1) + (p.classes + 1) ** 2 + p.triples
 
+def digits(leaf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(context, outcome) of each level."""
+    return [(leaf >> (4 * (LEVELS - k)), leaf >> (4 * (LEVELS - 1 - k)) & (WIDTH - 1)) for k in range(LEVELS)]
 
-def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
+
+def log_softmax(start: np.ndarray, weights: np.ndarray, context: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = start[context]
+    for k in range(rows.shape[1]):
         z += weights[rows[:, k]]
     z -= z.max(axis=1, keepdims=True)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
@@ -175,27 +166,28 @@ def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def count_tokens(rows: DataFrame, p: Params) -> DataFrame:
-    """(h, c, s): exact counts by hash, and the spelling."""
+    """(h, c, e): exact counts by hash, and the ending (as a long with the sign bit turned)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, int] = {}
 
         def out() -> pa.RecordBatch:
             words = list(held)
-            return pa.RecordBatch.from_arrays([pa.array(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)), pa.array(list(held.values()), pa.int64()), pa.array(spelling(words))], names=["h", "c", "s"])
+            return pa.RecordBatch.from_arrays([pa.array(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)), pa.array(list(held.values()), pa.int64()), pa.array((endings(words) ^ np.uint64(1 << 63)).view(np.int64))], names=["h", "c", "e"])
 
         for part in slices(batches, text="__text"):
             block = Block(texts(part, "__text"))
-            for w, n in zip(block.words, np.bincount(block.ids[block.at], minlength=len(block.words)).tolist(), strict=True):
-                held[w] = held.get(w, 0) + n
+            for w, n in zip(block.words, np.bincount(block.token, minlength=len(block.words)).tolist(), strict=True):
+                if n:
+                    held[w] = held.get(w, 0) + n
             if len(held) >= p.flush:
                 yield out()
                 held.clear()
         if held:
             yield out()
 
-    counted = rows.select("__text").mapInArrow(run, "h long, c long, s long")
-    return counted.groupBy("h").agg(F.sum("c").alias("c"), F.min("s").alias("s")).where("c > 0")
+    counted = rows.select("__text").mapInArrow(run, "h long, c long, e long")
+    return counted.groupBy("h").agg(F.sum("c").alias("c"), F.min("e").alias("e"))
 
 
 def head_of(counts: DataFrame, p: Params) -> list:
@@ -214,154 +206,152 @@ def head_of(counts: DataFrame, p: Params) -> list:
     return counts.where(F.col("c") >= least).collect()
 
 
-def cluster(vectors: np.ndarray, k: int) -> np.ndarray:
-    """k-means on unit vectors from evenly spread seeds."""
-    if len(vectors) <= k:
-        return np.arange(len(vectors))
-    size = np.sqrt((vectors**2).sum(axis=1, keepdims=True))
-    v = vectors / np.where(size, size, 1)
-    centres = v[np.linspace(0, len(v) - 1, k).astype(int)]
-    for _ in range(20):
-        at = (v @ centres.T).argmax(axis=1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, at, v)
-        n = np.sqrt((sums**2).sum(axis=1, keepdims=True))
-        centres = np.where(n > 0, sums / np.where(n, n, 1), centres)
-    return (v @ centres.T).argmax(axis=1)
-
-
-def word_classes(rows: DataFrame, head: list, p: Params) -> Words:
-    head = sorted(head, key=lambda r: (-r["c"], r["h"]))
-    hashes, counts, spelled = (np.array([r[k] for r in head], np.int64) for k in "hcs")
-    rank = np.arange(len(head))
-    used = min(len(head), p.clustered)
-    order = np.argsort(hashes, kind="stable")
-    plain = Words(hashes[order], counts[order], rank[order], np.zeros(len(head), np.int64), np.zeros((4, 4096, p.clusters), np.float32), p)
-    shared = rows.sparkSession.sparkContext.broadcast(plain)
-    width = 2 * p.neighbours
-
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words = np.zeros(used * width, np.int64), shared.value
-        for part in slices(batches, text="__text"):
-            block = Block(texts(part, "__text"))
-            at, there = words.find(block.hash)
-            r = np.append(np.where(there, words.rank[at], used), used)[block.ids]
-            side = np.append((block.hash.view(np.uint64) >> np.uint64(40)).astype(np.int64) % p.neighbours, 0)[block.ids]
-            for shift, base in ((1, 0), (-1, p.neighbours)):
-                other = np.roll(block.ids, shift)
-                ok = (r < used) & (block.ids >= 0) & (other >= 0)
-                held += np.bincount(r[ok] * width + base + np.roll(side, shift)[ok], minlength=used * width)
-        yield from ngrams.pieces_of(held)
-
-    vectors = np.sqrt(ngrams.summed(rows.select("__text").mapInArrow(neighbours, ngrams.VECTOR_SCHEMA), used * width).reshape(used, width)) if used else np.zeros((0, width))
-    cls = np.full(len(head), -1, np.int64)
-    cls[: p.singletons] = np.arange(min(p.singletons, len(head)))
-    table = np.full((4, 4096, p.clusters), 0.05)
-    if used > p.singletons:
-        cls[p.singletons : used] = p.singletons + cluster(vectors[p.singletons :], p.clusters)
-        for k in range(4):
-            f = (spelled[p.singletons : used].view(np.uint64) >> np.uint64(12 * k) & np.uint64(4095)).astype(np.int64)
-            np.add.at(table[k], (f, cls[p.singletons : used] - p.singletons), 1.0)
-    shares = np.log(table) - np.log(table.sum(axis=1, keepdims=True))
-    # A cluster's prior counts once, its letters four times.
-    shares += np.log(table.sum(axis=1, keepdims=True) / table.sum(axis=(1, 2), keepdims=True)) / 4
-    return Words(hashes[order], counts[order], rank[order], cls[order], shares.astype(np.float32), p)
-
-
-def train_weights(rows: DataFrame, words: Words, p: Params) -> np.ndarray:
+def bounds_of(ending: np.ndarray, count: np.ndarray, p: Params) -> np.ndarray:
+    """Where leaves begin, in the order of endings: before and after each of the most frequent words, and wherever the tokens since the last bound fill a leaf's share."""
+    order = np.argsort(ending, kind="stable")
+    ending, count = ending[order], count[order]
+    own = np.zeros(len(count), bool)
+    own[np.argsort(-count, kind="stable")[: p.own_leaves]] = True
+    left = p.leaves - 1 - 2 * int(own.sum())
+    share = max(1.0, count[~own].sum() / max(1, left // 2))
+    found, held = set(), 0
+    for e, c, alone in zip(ending.tolist(), count.tolist(), own.tolist(), strict=True):
+        if alone or held >= share:
+            found.add(e)
+            held = 0
+        if alone:
+            found.add(e + 1)
+        else:
+            held += c
+    return np.array(sorted(x for x in found if x < 1 << 64), np.uint64)[: p.leaves - 1]
+
+
+def leaf_totals(counts: DataFrame, words: Words, p: Params) -> np.ndarray:
+    """(tokens, different words) of each leaf, over all training words."""
+    shared = counts.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, p.leaves), np.int64)
+        for b in batches:
+            leaf = shared.value.leaf(b.column("e").to_numpy(zero_copy_only=False).view(np.uint64) ^ np.uint64(1 << 63))
+            np.add.at(held[0], leaf, b.column("c").to_numpy(zero_copy_only=False))
+            held[1] += np.bincount(leaf, minlength=p.leaves)
+        yield from ngrams.pieces_of(held.reshape(-1))
+
+    return ngrams.summed(counts.mapInArrow(run, ngrams.VECTOR_SCHEMA), 2 * p.leaves).reshape(2, p.leaves)
+
+
+def starts_of(totals: np.ndarray) -> list[np.ndarray]:
+    """Log shares of the outcomes at each level; an outcome without tokens counts as half a token."""
+    out = []
+    for k in range(LEVELS):
+        n = totals.reshape(WIDTH**k, WIDTH, -1).sum(axis=2) + 0.5
+        out.append(np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32))
+    return out
+
+
+def update(w: np.ndarray, seen: np.ndarray, rows: np.ndarray, d: np.ndarray, rate: float) -> None:
+    """One Adagrad step on the rows, given each token's gradient (tokens x WIDTH)."""
+    flat = rows.reshape(-1)
+    order = np.argsort(flat, kind="stable")  # 16-bit numbers: a radix sort
+    there = flat[order]
+    first = np.flatnonzero(np.concatenate([[True], there[1:] != there[:-1]]))
+    grad = np.add.reduceat(d[order // rows.shape[1]], first, axis=0)
+    at = there[first]
+    seen[at] += np.einsum("ij,ij->i", grad, grad)
+    w[at] -= grad * (rate / np.sqrt(seen[at]))[:, None]
+
+
+def train_weights(rows: DataFrame, words: Words, start: list[np.ndarray], p: Params) -> np.ndarray:
     """rows: __text and __turn (0 to rounds - 1)."""
-    size, c = feature_rows(p), p.classes
-    weights = np.zeros((size, c), np.float32)
+    weights = np.zeros((LEVELS, p.rows, WIDTH), np.float32)
     for turn in range(p.rounds):
-        shared = rows.sparkSession.sparkContext.broadcast((words, weights))
+        shared = rows.sparkSession.sparkContext.broadcast((words, start, weights))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            words, start = shared.value
-            w, seen, tokens = start.copy(), np.full((size, 1), 1e-3, np.float32), 0
+            words, start, before = shared.value
+            w, seen, tokens = before.copy(), np.full((LEVELS, p.rows), 1e-2, np.float32), 0
             for part in slices(batches, text="__text"):
-                f, y, _ = features(Block(texts(part, "__text")), words, p)
-                for at in range(0, len(y), p.batch):
-                    g, k = f[at : at + p.batch], y[at : at + p.batch]
-                    d = np.exp(log_softmax(w, g))
-                    d[np.arange(len(k)), k] -= 1
-                    flat = g.reshape(-1)
-                    order = np.argsort(flat, kind="stable")
-                    rows_, first = np.unique(flat[order], return_index=True)
-                    grad = np.add.reduceat(d[order // g.shape[1]], first, axis=0)
-                    seen[rows_] += (grad * grad).mean(axis=1, keepdims=True)
-                    w[rows_] -= p.rate * grad / np.sqrt(seen[rows_])
-                    tokens += len(k)
+                block = Block(texts(part, "__text"))
+                f, leaf = history(block), words.leaf(endings(block.words))[block.token]
+                for at in range(0, len(leaf), p.batch):
+                    g, y = f[at : at + p.batch], leaf[at : at + p.batch]
+                    for k, (context, outcome) in enumerate(digits(y)):
+                        rows_ = level_rows(g, context, k, p.rows)
+                        d = np.exp(log_softmax(start[k], w[k], context, rows_))
+                        d[np.arange(len(y)), outcome] -= 1
+                        update(w[k], seen[k], rows_, d, p.rate)
+                    tokens += len(y)
             if tokens:
                 # Fixed point, so that the sums do not depend on their order.
-                change = np.rint((w - start).astype(np.float64) * tokens * 2**16).astype(np.int64).reshape(-1)
+                change = np.rint((w - before).astype(np.float64) * tokens * 64).astype(np.int64).reshape(-1)
                 yield from ngrams.pieces_of(np.append(change, tokens))
 
-        total = ngrams.summed(rows.where(F.col("__turn") == turn).select("__text").mapInArrow(run, ngrams.VECTOR_SCHEMA), size * c + 1)
+        total = ngrams.summed(rows.where(F.col("__turn") == turn).select("__text").mapInArrow(run, ngrams.VECTOR_SCHEMA), weights.size + 1)
         if total[-1]:
-            weights = weights + (total[:-1] / (total[-1] * 2.0**16)).astype(np.float32).reshape(size, c)
+            weights = weights + (total[:-1] / (total[-1] * 64.0)).astype(np.float32).reshape(weights.shape)
     return weights
 
 
 def train(docs: DataFrame, params: Params = Params(), *, key: str = "doc_id", text: str = "text") -> Model:
     """docs: the rows that may be learned from."""
     p = params
-    rows = docs.select(F.col(text).alias("__text"), F.pmod(F.xxhash64(key), F.lit(p.rounds)).alias("__turn"))
+    rows = docs.select(F.col(text).alias("__text"), F.pmod(F.xxhash64(F.col(key), F.length(text)), F.lit(p.rounds)).alias("__turn"))
     counts = written(count_tokens(rows, p), "counts")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    words = word_classes(rows, head_of(counts, p), p)
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    head = sorted(head_of(counts, p), key=lambda r: r["h"])
+    hashes, count, ending = (np.array([r[k] for r in head], np.int64) for k in "hce")
+    words = Words(hashes, count, bounds_of(ending.view(np.uint64) ^ np.uint64(1 << 63), count, p))
+    in_leaf = leaf_totals(counts, words, p)
+    start = starts_of(in_leaf[0])
+    return Model(p, words, start, train_weights(rows, words, start, p), np.log10(in_leaf.sum(axis=0) + 1.0), totals["n"], totals["v"], counts.select("h", "c"))
 
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, p.classes), np.int64)
-        for b in batches:
-            cls = shared.value.classes(b.column("h").to_numpy(zero_copy_only=False), b.column("s").to_numpy(zero_copy_only=False))
-            held[0] += np.rint(np.bincount(cls, weights=b.column("c").to_numpy(zero_copy_only=False).astype(np.float64), minlength=p.classes)).astype(np.int64)
-            held[1] += np.bincount(cls, minlength=p.classes)
-        yield from ngrams.pieces_of(held.reshape(-1))
 
-    in_class = ngrams.summed(counts.mapInArrow(classed, ngrams.VECTOR_SCHEMA), 2 * p.classes).reshape(2, p.classes)
-    total = np.log10(in_class[0] + in_class[1] + 1.0)
-    total[: p.singletons] = 0.0
-    return Model(p, words, train_weights(rows, words, p), total, totals["n"], totals["v"], counts.select("h", "c"))
+def token_logs(block: Block, words: Words, start: list[np.ndarray], weights: np.ndarray, p: Params) -> np.ndarray:
+    """log10 P(leaf | history) of each token."""
+    f, leaf = history(block), words.leaf(endings(block.words))[block.token]
+    out = np.zeros(len(leaf))
+    for at in range(0, len(leaf), p.batch):
+        g, y = f[at : at + p.batch], leaf[at : at + p.batch]
+        for k, (context, outcome) in enumerate(digits(y)):
+            out[at : at + len(y)] += log_softmax(start[k], weights[k], context, level_rows(g, context, k, p.rows))[np.arange(len(y)), outcome]
+    return out / np.log(10)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns in `keep` with n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
     p, new = model.params, ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    shared = docs.sparkSession.sparkContext.broadcast((model.words, model.weights, model.log_total))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
+    row, known, base, own, rare, source = (free_name(keep, x) for x in ("__row", "__known", "__base", "__own", "__rare", "__source"))
+    shared = docs.sparkSession.sparkContext.broadcast((model.words, model.start, model.weights, model.log_total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weights, log_total = shared.value
-        row = TaskContext.get().partitionId() << 33
-        for part in slices(batches, text="__text"):
-            block = Block(texts(part, "__text"))
-            f, y, cls = features(block, words, p)
-            n = part.num_rows
-            log = np.concatenate([log_softmax(weights, f[i : i + p.batch])[np.arange(len(y[i : i + p.batch])), y[i : i + p.batch]] for i in range(0, len(y), p.batch)]).astype(np.float64) / np.log(10)
-            at, there = words.find(block.hash)
-            counted = np.where(there, np.log10((words.count[at] if len(words.hash) else 0) + 1.0), 0.0)
-            alone = cls < p.singletons
-            within = np.where(alone, 0.0, counted - log_total[cls])
-            token = block.ids[block.at]
+        words, start, weights, log_total = shared.value
+        at = TaskContext.get().partitionId() << 33
+        for part in slices(batches, text=source):
+            block, n = Block(texts(part, source)), part.num_rows
+            count, there = words.find(block.hash)
+            counted = np.where(there, np.log10(count + 1.0), 0.0)
+            within = counted - log_total[words.leaf(endings(block.words))]
             sums = lambda v, d=block.doc, n=n: np.bincount(d, weights=v, minlength=n)
-            rare = ~there[token]
-            order = np.flatnonzero(rare)
-            cuts = np.concatenate([[0], np.cumsum(sums(rare))]).astype(np.int32)
-            rest = pa.ListArray.from_arrays(pa.array(cuts), pa.array(block.hash[token[order]]))
+            left = ~there[block.token]
+            cuts = np.concatenate([[0], np.cumsum(sums(left))]).astype(np.int32)
+            rest = pa.ListArray.from_arrays(pa.array(cuts), pa.array(block.hash[block.token[left]]))
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in keep), pa.array(row + np.arange(n)), pa.array(np.bincount(block.doc, minlength=n)), pa.array(np.rint(sums(there[token])).astype(np.int64)), pa.array(sums(counted[token])), pa.array(sums(log + within[token])), rest],
-                names=[*keep, "__row", "n_tokens", "__known", "__base", "__score", "__rare"],
+                [*(part.column(c) for c in keep), pa.array(at + np.arange(n)), pa.array(np.bincount(block.doc, minlength=n)), pa.array(np.rint(sums(~left)).astype(np.int64)), pa.array(sums(counted[block.token])), pa.array(sums(token_logs(block, words, start, weights, p) + within[block.token])), rest],
+                names=[*keep, row, "n_tokens", known, base, own, rare],
             )
-            row += n
+            at += n
 
-    part = written(docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{fields + ', ' if fields else ''}__row long, n_tokens long, __known long, __base double, __score double, __rare array<bigint>"), "scored")
+    schema = T.StructType([*docs.select(*keep).schema.fields, *(T.StructField(c, kind) for c, kind in ((row, T.LongType()), ("n_tokens", T.LongType()), (known, T.LongType()), (base, T.DoubleType()), (own, T.DoubleType()), (rare, T.ArrayType(T.LongType()))))])
+    part = written(docs.select(*keep, F.col(text).alias(source)).mapInArrow(run, schema), "scored")
     # Rarer words: their counts by join; the sum goes into both scores.
-    rare = part.select("__row", F.explode("__rare").alias("h")).groupBy("__row", "h").agg(F.count("*").alias("n"))
-    rare = rare.join(model.counts.hint("merge"), "h").groupBy("__row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("__log"), F.sum("n").alias("__seen"))
-    rest, base = F.coalesce("__log", F.lit(0.0)), float(np.log10(model.tokens + model.distinct + 1.0))
-    return part.drop("__rare").join(rare, "__row", "left").select(*keep, "n_tokens", (F.col("__known") + F.coalesce("__seen", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("__base") + rest - F.col("n_tokens") * F.lit(base)).alias("base_score"), (F.col("__score") + rest).alias("score"))
+    found = part.select(F.col(row).alias("row"), F.explode(rare).alias("h")).groupBy("row", "h").agg(F.count("*").alias("n"))
+    found = found.join(model.counts.hint("merge"), "h").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("log"), F.sum("n").alias("seen"))
+    log, seen = free_name(part.columns, "__log"), free_name(part.columns, "__seen")
+    both = part.drop(rare).join(found.select(F.col("row").alias(row), F.col("log").alias(log), F.col("seen").alias(seen)), row, "left")
+    rest, norm = F.coalesce(log, F.lit(0.0)), float(np.log10(model.tokens + model.distinct + 1.0))
+    return both.select(*keep, "n_tokens", (F.col(known) + F.coalesce(seen, F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col(base) + rest - F.col("n_tokens") * F.lit(norm)).alias("base_score"), (F.col(own) + rest).alias("score"))
 
 
 def held_out(key: str | Column = "doc_id") -> Column:
