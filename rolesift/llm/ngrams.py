@@ -69,7 +69,7 @@ class Distinct:
 VECTOR_SCHEMA = "piece int, share int, sums binary"
 
 #: Tasks' vectors are first added within so many shares, so that no group holds more than a share of the tasks' pieces.
-SHARES = 64
+SHARES = 8
 
 
 def pieces_of(vector: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -79,15 +79,21 @@ def pieces_of(vector: np.ndarray) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(vector), PIECE):
         part = vector[k : k + PIECE]
         if part.any():
-            small = np.abs(part).max() < 1 << 31
             keys.append(k // PIECE)
-            values.append(part.astype("<i4" if small else "<i8").tobytes() + (b"4" if small else b"8"))
+            values.append(_packed(part))
     if keys:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([share] * len(keys), pa.int32()), pa.array(values, pa.binary())], names=["piece", "share", "sums"])
 
 
+def _packed(part: np.ndarray) -> bytes:
+    """The numbers as two, four or eight bytes each, and which."""
+    most = int(np.abs(part).max())
+    size = 2 if most < 1 << 15 else 4 if most < 1 << 31 else 8
+    return part.astype(f"<i{size}").tobytes() + str(size).encode()
+
+
 def _numbers(x: bytes) -> np.ndarray:
-    return np.frombuffer(x[:-1], "<i4" if x[-1:] == b"4" else "<i8")
+    return np.frombuffer(x[:-1], f"<i{x[-1:].decode()}")
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +101,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, total = None, np.zeros(PIECE, np.int64)
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.astype("<i8").tobytes() + b"8"], pa.binary())], names=["piece", "share", "sums"])
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([_packed(total)], pa.binary())], names=["piece", "share", "sums"])
 
     for b in batches:
         for piece, share, x in zip(*(b.column(c).to_pylist() for c in ("piece", "share", "sums")), strict=True):

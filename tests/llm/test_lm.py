@@ -52,12 +52,12 @@ def token_probability(model, before, word, known):
     m = 0xFFFFFFFF
     pair = (a * 0x9E3779B1 & m) ^ (b + 0x85EBCA6B & m)
     triple = (pair * 0xC2B2AE35 & m) ^ (c + 0x27D4EB2F & m)
-    features = np.array([[a, b * 3 + 1 & m, c * 5 + 2 & m, pair, triple]], np.uint32)
+    features = np.array([[a], [b * 3 + 1 & m], [pair], [triple]], np.uint32)
     leaf, out = int(model.words.leaf(lm.endings([word]))[0]), 1.0
     for k in range(3):
         context, digit = leaf >> 4 * (3 - k), leaf >> 4 * (2 - k) & 15
         z = model.start[k][context].astype(float)
-        for row in lm.level_rows(features, np.array([context]), k, model.params.rows)[0]:
+        for row in lm.level_rows(features, np.array([context]), k, model.params.rows)[:, 0]:
             z = z + model.weights[k][row]
         e = np.exp(z - z.max())
         out *= e[digit] / e.sum()
