@@ -12,29 +12,30 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest id reachable from every node that has a link. Ids are longs.
 
     Every step joins each node with the least of its neighbours, which is aggregated before
-    the shuffle and written, so that the join's both sides are plain exchanges and the
-    adaptive join can split a node with very many links over tasks. Links with nulls
+    the shuffle; the join deals both sides anew, so that the adaptive join can split a node
+    with very many links over tasks. Links with nulls
     and links of a node with itself are left out; repeated links count once; no links give
     no rows.
     """
     spark = links.sparkSession
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} <> {b}").distinct()
     edges, before = written(edges, "edges"), None
+    # An expression of the key: the aggregate's own partitions, one a key, would keep the join from splitting a hot one.
+    dealt_anew = F.col("u").bitwiseXOR(F.lit(0).cast("long")).alias("u")
     for _ in range(60):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(dealt_anew, F.least("u", "m").alias("m"))
         # Large star: every larger neighbour of u is hung on the least one around u.
-        large = written(edges.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        large = edges.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(large, "large")
         drop_scratch(spark, edges)
-        drop_scratch(spark, least)
-        # Small star: u and its smaller neighbours are hung on the least of them. Only u itself and its smaller neighbours meet here.
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        # Small star: u and its smaller neighbours are hung on the least of them.
+        least = large.groupBy("u").agg(F.min("v").alias("m")).select(dealt_anew, "m")
         hung = large.join(least, "u").select("u", "v", "m")
         small = hung.select("u", F.col("m").alias("v")).unionByName(hung.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         edges = written(small, "edges")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_scratch(spark, large)
-        drop_scratch(spark, least)
         if state == before:
             break
         before = state

@@ -45,7 +45,7 @@ class Params:
     probes: int = 3  # neighbouring cells entered besides the own
     block: int = 2048  # nodes compared with each other at once, and their bytes
     block_bytes: int = 16_000_000
-    leader_rounds: int = 2
+    leader_rounds: int = 1
     seed: int = 7
 
 

@@ -53,7 +53,7 @@ class Params:
     similarity: float = 0.8
     bands: int = 20
     rows: int = 6  # a pair at 0.8 shares a band with probability 0.998, one at 0.6 with 0.62, one at 0.4 with 0.08
-    leader_rounds: int = 2
+    leader_rounds: int = 1
     block: int = 256  # nodes compared with each other at once, and their bytes
     block_bytes: int = 8_000_000
 
