@@ -1,8 +1,9 @@
 """Licence scans: TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest ancestor directory. DataFrame functions only.
 
 A licence has several templates: notices, titles, its standard header and its full text.
-Units of a text are its lines, windows of lines up to twice the longest header, its sentences, its paragraphs (lines up to
-an empty one) and the whole text. A unit is a vector of words (lower case, letters and
+Units of a text are its lines, pairs of neighbouring lines (titles), its sentences, its
+paragraphs (lines up to one without letters and digits, so that comment marks part them too)
+and the whole text. A unit is a vector of words (lower case, letters and
 digits) weighted by count times idf. Document frequencies are counted over all texts for
 the words of the templates; any other word weighs as one that no text holds, so it needs no
 count. Against notices, titles and headers, so does a word of full texts only. A unit carries the licence of the template with the greatest cosine, if that is at
@@ -40,9 +41,6 @@ from rolesift.llm.common import written
 #: Rows up to which a table of directories or ids is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
-#: Lines of a window. A header of up to 32 lines holds a window of two thirds of its lines.
-WINDOWS = (2, 3, 4, 6, 8, 12, 16, 24)
-
 #: Words from which a template counts as a full text.
 FULL_WORDS = 150
 
@@ -119,19 +117,14 @@ def words_of(text: str | Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def units_of(rows: DataFrame, text: str, anchor: str, longest: int) -> DataFrame:
-    """(doc_id, unit, whole) of the different units of a text that hold an anchor: lines, windows of lines of at most `longest` characters, sentences, paragraphs, the whole text."""
+def units_of(rows: DataFrame, text: str, anchor: str) -> DataFrame:
+    """(doc_id, unit, whole) of the different units of a text that hold an anchor: lines, pairs of lines, sentences, paragraphs, the whole text."""
     # Each step is a column of its own: within a lambda an expression would be computed again for every element.
     rows = rows.select("doc_id", F.regexp_replace(F.col(text), r"\r\n?", "\n").alias("plain"))
-    rows = rows.select("*", F.split("plain", "\n").alias("lines"), F.split("plain", r"\n[ \t]*\n").alias("paragraphs"))
-    rows = rows.select("*", F.size("lines").alias("n"), F.filter(F.transform("lines", lambda x, i: F.when(F.lower(x).rlike(anchor), i)), lambda i: i.isNotNull()).alias("hits"))
-    # A window is numbered by its first line and its size, so that those around several hits are made once.
-    starts = [F.filter(F.transform("hits", lambda h, k=k: F.when(F.col("n") >= k, F.sequence(F.greatest(h - (k - 1), F.lit(0)), F.least(h, F.col("n") - k)))), lambda x: x.isNotNull()) for k in WINDOWS]
-    rows = rows.select("*", F.array_distinct(F.concat(*(F.transform(F.flatten(x), lambda at, k=k: at.cast("long") * 64 + k) for k, x in zip(WINDOWS, starts, strict=True)))).alias("numbers"))
-    windows = F.transform("numbers", lambda w: F.array_join(F.slice("lines", F.floor(w / 64).cast("int") + 1, F.pmod(w, F.lit(64)).cast("int")), "\n"))
-    windows = F.filter(windows, lambda w: F.length(w) <= longest)
+    rows = rows.select("*", F.split("plain", "\n").alias("lines"), F.split("plain", r"\n[^\p{L}\p{N}\n]*(?=\n)").alias("paragraphs"))
+    pairs = F.zip_with(F.slice("lines", 1, F.greatest(F.size("lines") - 1, F.lit(0))), F.slice("lines", 2, F.size("lines")), lambda x, y: F.concat(x, F.lit("\n"), y))
     sentences = F.flatten(F.transform("paragraphs", lambda x: F.split(x, r"(?<=[.;:!?])\s+")))
-    rows = rows.select("doc_id", "plain", F.array_distinct(F.concat("lines", windows, sentences, "paragraphs", F.array("plain"))).alias("parts"))
+    rows = rows.select("doc_id", "plain", F.array_distinct(F.concat("lines", pairs, sentences, "paragraphs", F.array("plain"))).alias("parts"))
     return rows.select("doc_id", "plain", F.explode("parts").alias("unit")).where(F.lower("unit").rlike(anchor)).select("doc_id", "unit", (F.col("unit") == F.col("plain")).alias("whole"))
 
 
@@ -185,9 +178,7 @@ def own_licences(docs: DataFrame, p: Params = Params(), *, key: str = "doc_id",
     anchor = r"(?<![\p{L}\p{N}])(" + "|".join(anchors_of(weights, p.similarity)) + r")(?![\p{L}\p{N}])"
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("__text"))
     held = rows.where(F.lower("__text").rlike(anchor))
-    # A window is for headers; one of twice the longest holds more than a header.
-    longest = 2 * max(len(form) for forms in p.templates.values() for form in forms if len(form.split()) < FULL_WORDS)
-    units = units_of(held, "__text", anchor, longest).select("doc_id", F.xxhash64("unit", F.length("unit")).alias("no"), "whole", "unit")
+    units = units_of(held, "__text", anchor).select("doc_id", F.xxhash64("unit", F.length("unit")).alias("no"), "whole", "unit")
     tag = r"(?i)spdx-license-identifier:[ \t(]*([a-z0-9.+-]+)"
     ids = F.create_map(*(F.lit(x) for name in sorted(p.templates) if name != RESERVED for form in (name, f"{name}-only", f"{name}-or-later", f"{name}+") for x in (form.lower(), name)))
     # An SPDX line speaks for itself; a whole text with one is still compared.
