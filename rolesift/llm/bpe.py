@@ -10,12 +10,14 @@ soon as one longest token's length of them agrees.
 
 Cases: null and empty texts give no tokens; special tokens are ordinary text; any
 repetition of rows or ids is kept row by row; columns other than the text are passed
-through or left out by the caller; texts of any length are encoded whole.
+through or left out by the caller, and may have any name but those of the results, which
+are replaced; texts of any length are encoded whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
@@ -26,7 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolesift.llm.common import slices, texts
+from rolesift.llm.common import free_name, slices, texts
+
+#: Pieces before an edit that are cut anew: a contraction (x ' l l) spans three.
+RECUT = 4
 
 #: Entries of a worker's cache of encoded words; when full it starts anew.
 CACHE_WORDS = 250_000
@@ -45,7 +50,10 @@ class Vocabulary:
             ends.setdefault(token[-3:], set()).add(len(token))
         #: Lengths of the entries that end in three given bytes, longest first; shorter ends are always tried.
         self._lengths = {end: (*sorted((n for n in found if n > 2), reverse=True), 2, 1) for end, found in ends.items() if len(end) == 3}
-        self.split = regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
+        self.split = compiled.findall
+        #: Matches from a place on.
+        self.cut = lambda text, at: compiled.finditer(text, at)
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._edges: tuple[dict, dict] = ({}, {})
         self._stable: dict[tuple[int, int], bool] = {}
@@ -232,33 +240,26 @@ class EncodedText:
         self.pieces = [(p, vocabulary.encode_piece(p.encode())) for p in vocabulary.split(text)]
 
     def append(self, more: str) -> None:
-        """The pattern looks ahead and never back, so only the last piece can change."""
-        last = self.pieces.pop()[0] if self.pieces and more else ""
-        self.text += more
-        self.pieces += [(p, self.vocabulary.encode_piece(p.encode())) for p in self.vocabulary.split(last + more)]
+        """New text can join a contraction or a run of spaces two pieces back, so the last pieces are cut anew."""
+        if more:
+            self.edit(len(self.text), len(self.text), more)
 
     def edit(self, start: int, end: int, new: str) -> None:
-        """Replaces text[start:end]: cuts anew from the piece before the edit until a cut after it falls on an old one."""
-        at, first = 0, 0
-        for first, (piece, _) in enumerate(self.pieces):
-            if at + len(piece) >= start:
-                break
+        """Replaces text[start:end]: cuts anew from some pieces before the edit until a cut after it falls on an old one."""
+        begins, at = [], 0
+        for piece, _ in self.pieces:
+            begins.append(at)
             at += len(piece)
-        else:
-            first = len(self.pieces)
-        old_cuts, place = {}, at
-        for k in range(first, len(self.pieces)):
-            if place > end:
-                old_cuts[place + len(new) - (end - start)] = k
-            place += len(self.pieces[k][0])
+        first = max(0, bisect.bisect_left(begins, start) - RECUT)
+        at = begins[first] if first < len(begins) else at
+        old_cuts = {begins[k] + len(new) - (end - start): k for k in range(first, len(begins)) if begins[k] > end}
         self.text = self.text[:start] + new + self.text[end:]
-        fresh, place = [], at
-        for piece in self.vocabulary.split(self.text[at:]):
-            if place in old_cuts:
-                self.pieces = self.pieces[:first] + fresh + self.pieces[old_cuts[place] :]
+        fresh = []
+        for match in self.vocabulary.cut(self.text, at):
+            if match.start() in old_cuts:
+                self.pieces = self.pieces[:first] + fresh + self.pieces[old_cuts[match.start()] :]
                 return
-            fresh.append((piece, self.vocabulary.encode_piece(piece.encode())))
-            place += len(piece)
+            fresh.append((match[0], self.vocabulary.encode_piece(match[0].encode())))
         self.pieces = self.pieces[:first] + fresh
 
     def ids(self) -> list[int]:
@@ -337,14 +338,15 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", keep:
     """
     keep = [c for c in (df.columns if keep is None else keep) if c not in ("token_ids", "decoded")]
     shared = df.sparkSession.sparkContext.broadcast(ranks)
-    source = df.select(*keep, F.col(text).alias("__text"))
+    name = free_name([*keep, "token_ids", "decoded"], "__text")
+    source = df.select(*keep, F.col(text).alias(name))
     schema = T.StructType([*df.select(*keep).schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded", T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shared.value, pattern)
         decode = encoder.vocabulary.decode
-        for part in slices(batches, rows=1000, chars=2_000_000, text="__text"):
-            ids = encoder.many(texts(part, "__text"))
+        for part in slices(batches, rows=1000, chars=2_000_000, text=name):
+            ids = encoder.many(texts(part, name))
             decoded = pa.array(map(decode, ids), pa.binary())
             offsets = [0]
             for x in ids:

@@ -13,7 +13,8 @@ the sketches. Every pair found is then verified by the shingles themselves.
 Cases: null texts, and texts or items without a word, are in no pair. Rows with one
 doc_id (item_id) are one document (item): its shingles are those of all its rows. Rows
 without an id are not searched, and stay in a cleaned table. Repeated rows change
-nothing. Other columns are never read.
+nothing. Ties in a sketch's hashes are kept whole. An empty table of either kind gives no
+pairs. Other columns are never read, and may have any name.
 """
 
 from __future__ import annotations
@@ -23,11 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.llm.common import written
-
-#: Rows up to which a table of shingles or ids is broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
-
+from rolesift.llm.common import free_name, sized, written
 
 @dataclass(frozen=True)
 class Params:
@@ -59,10 +56,6 @@ def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def sized(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
-
-
 def pairs(docs: DataFrame, items: DataFrame, p: Params = Params(), *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_matched, n_shingles, containment) of every pair at or above the threshold."""
     cut = items.select(F.col(item_key).alias("item_id"), words_of(item_text).alias("w")).where("item_id is not null and size(w) > 0").withColumn("k", F.least(F.size("w"), F.lit(p.words)))
@@ -109,8 +102,9 @@ def pairs(docs: DataFrame, items: DataFrame, p: Params = Params(), *, key: str =
 
 def cleaned(docs: DataFrame, items: DataFrame, p: Params = Params(), *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    leaks = written(pairs(docs, items, p, key=key, text=text, item_key=item_key, item_text=item_text).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.join(sized(leaks), F.col(key) == F.col("__leak"), "left_anti")
+    leak = free_name(docs.columns, "leak")
+    leaks = written(pairs(docs, items, p, key=key, text=text, item_key=item_key, item_text=item_text).select(F.col("doc_id").alias(leak)).distinct(), "leaks")
+    return docs.join(sized(leaks), F.col(key) == F.col(leak), "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

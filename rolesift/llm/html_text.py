@@ -15,13 +15,16 @@ length.
 
 Cases: null or empty html gives an empty text; so does a page without main text. Broken
 markup is read as far as it goes: unclosed elements end with the one around them, a tag
-cut off at the end is dropped. Repeated rows give the same text.
+cut off at the end is dropped. Repeated rows give the same text. An empty table gives no
+rows. Other columns may have any name but that of the result, which is replaced. Time grows
+with the length of a page, however broken.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolesift.llm.common import slices, texts
+from rolesift.llm.common import free_name, slices, texts
 
 #: Elements that start and end a block.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -40,10 +43,13 @@ RAW = frozenset("script style textarea title xmp noembed noframes".split())
 #: Elements without main text.
 DROPPED = frozenset("script style textarea title xmp noembed noframes head nav footer aside form button select option datalist input menu dialog noscript template svg math iframe object canvas video audio map search".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
+#: Elements that carry text by themselves.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre em strong b i span code figure figcaption dt dd".split())
 #: Words of class and id that mark boilerplate anywhere.
 DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices sidebar nav navbar navigation menu menubar breadcrumb breadcrumbs topbar masthead footer comment comments commentlist disqus reply replies respond related recommended recommendations share sharing social newsletter subscribe signup login popup modal overlay form search widget widgets toolbar pagination pager copyright paywall".split())
 CONTAINER_WORDS = frozenset(("article", "content", "maincontent", "main", "post", "entry", "story"))
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'](?=[^>]*>))*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)|</[^>]*(?:>|\Z)", re.S)
+STOP = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORD = re.compile(r"[a-z0-9]+")
 
@@ -64,6 +70,16 @@ class _Open:
     link: bool
 
 
+def tag_end(page: str, at: int) -> tuple[int, int]:
+    """(end of the attributes, end of the tag) of a tag whose name ends at `at`. A quote without partner is a plain character; each character is passed once."""
+    while (m := STOP.search(page, at)) is not None:
+        if m[0] == ">":
+            return m.start(), m.end()
+        close = page.find(m[0], m.end())
+        at = close + 1 if close >= 0 else m.end()
+    return len(page), len(page)
+
+
 def _attributes(text: str) -> dict[str, str]:
     found = {}
     for name, a, b, c in ATTRIBUTE.findall(text):
@@ -77,7 +93,8 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     stack: list[_Open] = []
     text: list[str] = []
     links = 0
-    dropped = containers = inner = 0
+    dropped = inner = in_links = 0
+    opened: Counter = Counter()  # open elements by name
     any_container = False
 
     def end() -> None:
@@ -89,9 +106,11 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         links = 0
 
     def pop(to: int) -> None:
-        nonlocal dropped, inner, containers
+        nonlocal dropped, inner, in_links
         while len(stack) > to:
             top = stack.pop()
+            opened[top.name] -= 1
+            in_links -= top.link
             if top.name in BLOCKS or top.dropped:
                 end()
             if top.dropped:
@@ -107,7 +126,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if chunk and not dropped:
             plain = html.unescape(chunk)
             text.append(plain)
-            if any(x.link for x in stack):
+            if in_links:
                 links += len(" ".join(plain.split()))
 
     at = 0
@@ -119,8 +138,10 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             if page.startswith("<![CDATA[", m.start()):
                 add(html.escape(page[m.start() + 9 : m.end() - 3], quote=False))
             continue
+        here, at = tag_end(page, at)
+        attributes = page[m.end() : here]
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[k].name == name:
                     pop(k)
                     break
@@ -145,14 +166,17 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if name in BLOCKS:
             if not dropped:
                 end()
-            for k in range(len(stack) - 1, -1, -1):
+            ends = opened["p"] or opened[name] and name in ("li", "dd", "dt", "td", "th", "tr", "option") or name == "body"
+            for k in range(len(stack) - 1, -1, -1) if ends else ():
                 if stack[k].name == "p" or stack[k].name == name and name in ("li", "dd", "dt", "td", "th", "tr", "option") or name == "body" and stack[k].name == "head":
                     pop(k)
                     break
                 if stack[k].name in BLOCKS:
                     break
-        values = _attributes(m[3])
-        words = set(WORD.findall(f"{values.get('class', '')} {values.get('id', '')}".lower()))
+        values = _attributes(attributes)
+        named = f"{values.get('class', '')} {values.get('id', '')}".lower()
+        # Of an element that carries text by itself, a whole class or id must say so: "form-factor" is no form.
+        words = set(named.split() if name in TEXTUAL else WORD.findall(named))
         role = values.get("role", "").lower()
         plain = name in ("html", "body")
         drop = name in DROPPED or role in DROPPED_ROLES or "hidden" in values or values.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", ""), re.I) is not None
@@ -168,8 +192,10 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             end()
             inner += 1
             any_container = True
-        if not m[3].rstrip().endswith("/") or name in BLOCKS:
+        if not attributes.rstrip().endswith("/") or name in BLOCKS:
             stack.append(_Open(name, drop, container, name == "a"))
+            opened[name] += 1
+            in_links += name == "a"
         else:  # closed in itself
             if drop:
                 dropped -= 1
@@ -214,11 +240,13 @@ def extract(pages: DataFrame, p: Params = Params(), *, markup: str = "html", kee
     keep = [c for c in (pages.columns if keep is None else keep) if c != into]
     schema = T.StructType([*pages.select(*keep).schema.fields, T.StructField(into, T.StringType(), False)])
 
+    source = free_name([*keep, into], "__html")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text="__html"):
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([main_text(x, p) for x in texts(part, "__html")], pa.string())], names=[*keep, into])
+        for part in slices(batches, text=source):
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([main_text(x, p) for x in texts(part, source)], pa.string())], names=[*keep, into])
 
-    return pages.select(*keep, F.col(markup).alias("__html")).mapInArrow(run, schema)
+    return pages.select(*keep, F.col(markup).alias(source)).mapInArrow(run, schema)
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,26 +7,27 @@ of which is held back to calibrate a temperature for the softmax.
 
 Cases: a text that is null or has no letter is `und` with score 0; so is every text where
 nothing could be learned. Rows whose language is null are not learned from. Equal scores
-go to the first language in order. Repeated rows get the same answer. Other columns are
-never read.
+go to the first language in order. Repeated rows get the same answer. An empty table
+gives no rows. Other columns are never read, and may have any name but those of the
+results, which are replaced.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rolesift.llm import ngrams
-from rolesift.llm.common import crc_mod, slices, texts
+from rolesift.llm.common import crc_mod, free_name, slices, texts
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass(frozen=True)
@@ -125,7 +126,7 @@ def train(docs: DataFrame, params: Params = Params(), *, lang: str = "lang", key
     share = F.lit(0.0)
     for name in langs:
         share = F.when(F.col("__lang") == name, F.lit(min(1.0, p.max_train / sizes[name]))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("__key", F.lit(5)), F.lit(1_000_000)) < share * 1_000_000)
+    sample = rows.where(F.pmod(F.xxhash64("__key", "__text", F.lit(5)), F.lit(1_000_000)) < share * 1_000_000)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, langs = shared.value
@@ -137,13 +138,14 @@ def train(docs: DataFrame, params: Params = Params(), *, lang: str = "lang", key
         t = _temperature([(y, x @ w[at]) for y, at, x in held])
         yield pa.RecordBatch.from_arrays([pa.array([t]), pa.array([w.astype("<f4").tobytes()], pa.binary())], names=["t", "w"])
 
-    [fitted] = sample.select(F.xxhash64("__key", F.lit(55)).alias("__order"), "__text", "__lang").coalesce(64).repartition(1).mapInArrow(fit, "t double, w binary").collect()
+    [fitted] = sample.select(F.xxhash64("__key", "__text", F.lit(55)).alias("__order"), "__text", "__lang").coalesce(64).repartition(1).mapInArrow(fit, "t double, w binary").collect()
     return Model(p, langs, idf, np.frombuffer(fitted["w"], "<f4").reshape(p.buckets, len(langs)), fitted["t"])
 
 
 def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None, into: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
     """The columns in `keep`, the predicted language and its calibrated probability, in one narrow pass."""
     p, keep = model.params, [c for c in (docs.columns if keep is None else keep) if c not in into]
+    source = free_name([*keep, *into], "__text")
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.idf, np.ascontiguousarray(model.weights), model.temperature))
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(into[0], T.StringType(), False), T.StructField(into[1], T.DoubleType(), False)])
 
@@ -158,11 +160,11 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for part in slices(batches, text="__text"):
-            found = [one(x, model) for x in texts(part, "__text")]
+        for part in slices(batches, text=source):
+            found = [one(x, model) for x in texts(part, source)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], names=[*keep, *into])
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias(source)).mapInArrow(run, schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

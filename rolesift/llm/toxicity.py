@@ -7,11 +7,11 @@ regression over the buckets with |r| >= min_ratio and at least min_docs document
 on a bounded sample of training rows (max_train rows for each label, chosen by a hash of
 the id), and scores whole texts.
 
-Cases: null and empty texts score as a text without features. Rows that repeat score
+Cases: null and empty texts score as a text without features. An empty table gives no rows. Rows that repeat score
 alike. Labels that are null, or ids without a label, are not learned from; an id with
 several labels counts as toxic if one of them is. With no toxic or no clean training row
 the score is the share of toxic training rows (0 where there are none). Other columns are
-never read.
+never read, and may have any name but that of the result, which is replaced.
 """
 
 from __future__ import annotations
@@ -26,11 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rolesift.llm import ngrams
-from rolesift.llm.common import crc_mod, slices, texts
-
-#: Rows up to which a table of ids and labels is broadcast (16 bytes each); larger ones are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
-
+from rolesift.llm.common import crc_mod, free_name, sized, slices, texts, written
 
 @dataclass(frozen=True)
 class Params:
@@ -60,9 +56,7 @@ def _features(text: str, distinct: ngrams.Distinct, p: Params) -> np.ndarray:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str) -> DataFrame:
     """(text, label) of the documents with a label. The labels' size is checked before they are broadcast."""
     known = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).where("__key is not null and __label is not null").groupBy("__key").agg(F.max("__label").alias("__label"))
-    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        known = F.broadcast(known)
-    return docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(known, "__key")
+    return docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(sized(written(known, "labels"), 16), "__key")
 
 
 def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), *, label: str = "toxic", key: str = "doc_id", text: str = "text") -> Model:
@@ -91,7 +85,7 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), *, labe
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     # A bounded sample of each label, by a hash of the id.
     share = F.when(F.col("__label") > 0, min(1.0, p.max_train / n[1])).otherwise(min(1.0, p.max_train / n[0]))
-    sample = rows.where(F.pmod(F.xxhash64("__key", F.lit(10)), F.lit(1_000_000)) < share * 1_000_000)
+    sample = rows.where(F.pmod(F.xxhash64("__key", "__text", F.lit(10)), F.lit(1_000_000)) < share * 1_000_000)
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distinct, ratio = ngrams.Distinct(p.buckets), shared.value
@@ -134,16 +128,17 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), *, labe
 def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None, into: str = "toxicity") -> DataFrame:
     """The columns in `keep` and the score of every row, in one narrow pass."""
     p, keep = model.params, [c for c in (docs.columns if keep is None else keep) if c != into]
+    source = free_name([*keep, into], "__text")
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(into, T.DoubleType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distinct, (weights, bias) = ngrams.Distinct(p.buckets), shared.value
-        for part in slices(batches, text="__text"):
-            z = [bias + float(weights[_features(x, distinct, p)].sum(dtype=np.float64)) for x in texts(part, "__text")]
+        for part in slices(batches, text=source):
+            z = [bias + float(weights[_features(x, distinct, p)].sum(dtype=np.float64)) for x in texts(part, source)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))), pa.float64())], names=[*keep, into])
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias(source)).mapInArrow(run, schema)
 
 
 def learnable(key: str | Column = "doc_id") -> Column:
