@@ -22,7 +22,7 @@ FLOOR = 4.0
 BARS = {"overlap": 6.0, "a_only": 7.0, "b_only": 8.0}
 BANDS = [(20.0, 5.0), (40.0, 4.0), (60.0, 2.5)]
 
-_NORM = r"trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g'))"
+_NORM = r"trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g'))"
 _COUNT = "CAST((length(lower(text)) - length(replace(lower(text), '{0}', ''))) / {1} AS INT)"
 
 
@@ -50,9 +50,26 @@ def doc_description_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", text.body_hash("text").alias("body_hash"))
 
 
-@query("doc_fingerprint", f"SELECT doc_id, sha256(concat_ws('|', {_NORM.format('source')}, {_NORM.format('lang')}, substr({_NORM.format('text')}, 1, 400))) AS fingerprint FROM documents")
+_NO_COMPANY = r"trim(regexp_replace(regexp_replace({0}, '\b(inc|llc|ltd|corp|corporation|co|company|holdings|group|technologies|technology|labs|hq|usa|us)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+_NO_TITLE = r"trim(regexp_replace(regexp_replace({0}, '\b(full.?time|part.?time|contract|remote|hybrid|on.?site|onsite|us|usa|united states|new|urgent|hiring|open|f\/?m\/?d|m\/?f\/?d)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+# The table has no company and title of its own: made from source and language, with legal forms and decorations.
+_COMPANY = "source || CASE doc_id % 4 WHEN 0 THEN ' Holdings, Inc.' WHEN 1 THEN ' Labs HQ' WHEN 2 THEN ' Technologies Group' ELSE ' US Co' END"
+_TITLE = "lang || CASE doc_id % 4 WHEN 0 THEN ' engineer (Remote)' WHEN 1 THEN ' Urgent: full-time writer' WHEN 2 THEN ' on-site lead, United States' ELSE ' clerk m/f/d' END"
+
+
+def named(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("company", F.expr(_COMPANY)).withColumn("title", F.expr(_TITLE))
+
+
+@query("doc_fingerprint", f"SELECT doc_id, sha256(concat_ws('|', {_NO_COMPANY.format(_NORM.format(_COMPANY))}, {_NO_TITLE.format(_NORM.format(_TITLE))}, substr({_NORM.format('text')}, 1, 400))) AS fingerprint FROM documents")
 def doc_fingerprint(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.posting_key("source", "lang", "text").alias("fingerprint"))
+    return named(table(spark, d, "documents")).select("doc_id", text.posting_key("company", "title", "text").alias("fingerprint"))
+
+
+@query("clone_keys", f"SELECT doc_id, sha256(concat_ws('|', {_NO_COMPANY.format(_NORM.format(_COMPANY))}, {_NO_TITLE.format(_NORM.format(_TITLE))}, regexp_replace({_NORM.format('text')}, '^this position is listed on behalf of a partner company.{{{{0,200}}}}?\\bbased in\\b[a-z ]{{{{0,40}}}}?(this is|the role|you will|our)\\b', ''))) AS clone_key FROM documents".replace("{{", "{").replace("}}", "}"))
+def clone_keys(spark, d):
+    """No text of the test tables has a reseller's opening; tests/test_feeds.py has some."""
+    return named(table(spark, d, "documents")).select("doc_id", text.clone_key("company", "title", "text").alias("clone_key"))
 
 
 @query("first_wins_dedupe", f"SELECT sha256({_NORM.format('text')}) AS body_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
@@ -65,7 +82,7 @@ _SCORED = f"SELECT doc_id, source, {_sql_score(TERMS_A)} AS score_a, {_sql_score
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     body = F.lower("text")
-    return table(spark, d, "documents").select("doc_id", "source", ranking.vocabulary_score(body, TERMS_A).alias("score_a"), ranking.vocabulary_score(body, TERMS_B).alias("score_b"))
+    return table(spark, d, "documents").select("doc_id", "source", ranking.vocabulary_score(body, TERMS_A).alias("score_a"), ranking.vocabulary_score(body, TERMS_B).alias("score_b"), text.body_hash("text").alias("body_hash"))
 
 
 @query("term_score_capped", f"SELECT doc_id, score_a, score_b FROM ({_SCORED})")
@@ -149,8 +166,19 @@ def funnel_counts(spark, d):
 
 @query("clone_collapse", f"SELECT min(g.doc_id) AS doc_id, h.body_hash FROM ({_GATES}) g JOIN (SELECT doc_id, sha256({_NORM.format('text')}) AS body_hash FROM documents) h ON g.doc_id = h.doc_id WHERE g.reason IS NULL GROUP BY 2")
 def clone_collapse(spark, d):
-    passed = gated(spark, d).where("reason is null").select("doc_id")
-    return passed.join(doc_description_hash(spark, d), "doc_id").groupBy("body_hash").agg(F.min("doc_id").alias("doc_id"))
+    """The hash is made where the text is read, so nothing is joined to fetch it again."""
+    return gated(spark, d).where("reason is null").groupBy("body_hash").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("clone_claimants", f"""WITH h AS (SELECT doc_id, sha256({_NORM.format('text')}) AS body_hash FROM documents),
+ g AS (SELECT h.doc_id, h.body_hash, l.doc_id IS NOT NULL AS scored, reason IS NULL AS passed FROM h JOIN ({_GATES}) q ON q.doc_id = h.doc_id LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) l ON l.doc_id = h.doc_id)
+ SELECT doc_id, body_hash FROM (SELECT *, row_number() OVER (PARTITION BY body_hash ORDER BY doc_id) AS r FROM g WHERE scored OR passed) WHERE r = 1 AND passed AND NOT scored""")
+def clone_claimants(spark, d):
+    """A passed posting stays if no earlier one of its clone key passed or was already scored: the first claimant of each key, kept if it is a passed one. One aggregation, with partial minima before the shuffle."""
+    scored = table(spark, d, "labels").where("toxic = 1").select("doc_id").distinct().withColumn("scored", F.lit(True))
+    rows = gated(spark, d).join(scored, "doc_id", "left").where("scored or reason is null")
+    first = rows.groupBy("body_hash").agg(F.min(F.struct("doc_id", F.coalesce("scored", F.lit(False)).alias("scored"), F.col("reason").isNull().alias("passed"))).alias("r"))
+    return first.where("r.passed and not r.scored").select("r.doc_id", "body_hash")
 
 
 @query("rank_unseen", f"SELECT doc_id, bucket, score, rank FROM (SELECT doc_id, bucket, score, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, doc_id) AS rank FROM ({_GATES}) WHERE reason IS NULL) WHERE rank <= 12")
@@ -159,7 +187,6 @@ def rank_unseen(spark, d):
     return ranking.top_k(rows, "bucket", [F.desc("score"), F.asc("doc_id")], 12)
 
 
-QUERIES["bucket_topk"], ORACLE_SQL["bucket_topk"] = rank_unseen, ORACLE_SQL["rank_unseen"]
 _BAR = "CASE bucket " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in BARS.items()) + " END"
 
 
@@ -263,13 +290,6 @@ def range_band_lookup(spark, d):
     return table(spark, d, "part").select("p_partkey", work.banded(F.col("p_size"), BANDS, 1.0).alias("band"))
 
 
-@query("prefix_lookup", "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey AND starts_with(lower(n_name), lower(substr(n_name, 1, 3)))")
-def prefix_lookup(spark, d):
-    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    rows = table(spark, d, "supplier").select("s_suppkey", "s_nationkey").join(nations, "s_nationkey")
-    return rows.where(F.startswith(F.lower("n_name"), F.lower(F.substring("n_name", 1, 3)))).select("s_suppkey", "n_name")
-
-
 _BACKLOG = "SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS times_seen, count(*) FILTER (event_type = 'error') AS attempts FROM events GROUP BY 1"
 
 

@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from rolesift.plans import history  # noqa: F401 - registers its queries
 from rolesift.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = Path("/root/testdata/sf0.01")
