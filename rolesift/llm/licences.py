@@ -12,9 +12,13 @@ by its identifier alone: a known one has cosine 1, another is no licence. The do
 licence is that of its best unit; reserved rights count only where no licence is granted. A
 document whose whole text, or whose name, is that of a licence file is a licence file.
 
-Search: of each template some words are anchors, as many as leave the others with a share
-of its length below `similarity`; words that few texts hold come first. A unit without an
-anchor can't reach the threshold, so only units with one are made and cut into words.
+Search: a unit at the threshold holds words of the template with a share of `similarity`
+squared of its squared length at least. Which words of the templates a text holds is found in
+one pass, which also counts the document frequencies. What a template's rare words (in fewer
+than one text of a hundred) must then add to its other words takes at least so many of the
+heaviest; only texts that hold as many rare words for some template are read again and cut
+into units, and of these only units with one of the template words without which nothing
+reaches the threshold are compared. No unit at the threshold is lost.
 
 Inheritance: a document without an own licence gets that of the nearest directory above it
 that holds a licence file with a licence; of several in one directory the greatest cosine,
@@ -36,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.llm.common import written
+from rolesift.llm.common import sized, written
 
 #: Rows up to which a table of directories or ids is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -138,18 +142,26 @@ class Weights:
     full: list[bool]  # whether a template is a full text
 
 
-def template_weights(docs: DataFrame, p: Params, text: str) -> Weights:
-    """As many rows as the templates have words come to the driver."""
-    spark = docs.sparkSession
+def template_counts(p: Params, spark: SparkSession) -> tuple[list[tuple[str, str]], list[dict[str, int]]]:
+    """(licence, form) of each template, and its words' counts."""
     forms = [(name, form) for name in sorted(p.templates) for form in p.templates[name]]
     table = spark.createDataFrame(pa.table({"i": range(len(forms)), "form": [form for _, form in forms]}))
     counts: list[dict[str, int]] = [{} for _ in forms]
     for r in table.select("i", F.explode(words_of("form")).alias("word")).groupBy("i", "word").count().collect():
         counts[r["i"]][r["word"]] = r["count"]
+    return forms, counts
+
+
+def held_terms(docs: DataFrame, terms: list[str], key: str, text: str) -> DataFrame:
+    """(doc_id, terms): the different words of templates that each row's text holds."""
+    return docs.select(F.col(key).alias("doc_id"), F.array_intersect(words_of(text), F.lit(terms)).alias("terms"))
+
+
+def template_weights(terms_of: DataFrame, forms: list[tuple[str, str]], counts: list[dict[str, int]]) -> Weights:
+    """As many rows as the templates have words come to the driver."""
     terms = sorted({w for own in counts for w in own})
-    n = docs.count()
-    words = docs.select(F.explode(F.array_intersect(words_of(text), F.lit(terms))).alias("word"))
-    held = {r["word"]: r["count"] for r in words.groupBy("word").count().collect()}
+    n = terms_of.count()
+    held = {r["word"]: r["count"] for r in terms_of.select(F.explode("terms").alias("word")).groupBy("word").count().collect()}
     idf = {t: math.log((1 + n) / (1 + held.get(t, 0))) + 1 for t in terms}
     own = []
     for c in counts:
@@ -158,6 +170,30 @@ def template_weights(docs: DataFrame, p: Params, text: str) -> Weights:
     return Weights([name for name, _ in forms], own, idf, math.log(1 + n) + 1, held, [sum(c.values()) >= FULL_WORDS for c in counts])
 
 
+def _least(weights: list[float], need: float) -> int:
+    """How many of the heaviest words make up `need` of the squared length."""
+    least = 0
+    for x in sorted(weights, reverse=True):
+        if need <= 1e-9:
+            break
+        need -= x * x
+        least += 1
+    return least
+
+
+def possible(terms: str, rare: str, rare_words: set[str], weights: Weights, similarity: float) -> Column:
+    """Whether a text with these template words, and these rare ones among them, may hold a unit at the threshold."""
+    found = F.lit(False)
+    for own, full in zip(weights.own, weights.full, strict=True):
+        mine = {w: x for w, x in own.items() if w in rare_words}
+        common = sum(x * x for w, x in own.items() if w not in rare_words)
+        column, words, least = (rare, mine, k) if (k := _least(list(mine.values()), similarity**2 - common)) else (terms, own, _least(list(own.values()), similarity**2))
+        enough = F.size(column) >= least
+        # A short template's own words are counted; a full text's are too many for that, and the size alone decides.
+        found |= enough if full else enough & (F.size(F.array_intersect(column, F.lit(sorted(words)))) >= least)
+    return found
+
+
 def anchors_of(weights: Weights, similarity: float) -> list[str]:
     """Words one of which any unit at the threshold must hold: of each template those that are in the fewest texts for their weight."""
     found: set[str] = set()
@@ -174,15 +210,23 @@ def anchors_of(weights: Weights, similarity: float) -> list[str]:
 def own_licences(docs: DataFrame, p: Params = Params(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, licence, cosine, whole) of each document with a licence of its own; whole: its whole text is the notice."""
     spark = docs.sparkSession
-    weights = template_weights(docs, p, text)
+    forms, counts = template_counts(p, spark)
+    terms = sorted({w for c in counts for w in c} | {"spdx"})
+    terms_of = written(held_terms(docs, terms, key, text), "terms")
+    weights = template_weights(terms_of, forms, counts)
     anchor = r"(?<![\p{L}\p{N}])(" + "|".join(anchors_of(weights, p.similarity)) + r")(?![\p{L}\p{N}])"
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("__text"))
-    held = rows.where(F.lower("__text").rlike(anchor))
+    most = terms_of.count() / 100
+    rare = sorted(w for w in weights.idf if weights.held.get(w, 0) < most)
+    with_rare = written(terms_of.where("doc_id is not null").select("doc_id", "terms", (F.array_intersect("terms", F.lit(rare)) if rare else F.array().cast("array<string>")).alias("rare")), "rare")
+    ids = with_rare.where(F.array_contains("terms", "spdx") | possible("terms", "rare", set(rare), weights, p.similarity)).select("doc_id").distinct()
+    ids = written(ids, "held")
+    held = rows.join(sized(ids), "doc_id", "left_semi")
     units = units_of(held, "__text", anchor).select("doc_id", F.xxhash64("unit", F.length("unit")).alias("no"), "whole", "unit")
     tag = r"(?i)spdx-license-identifier:[ \t(]*([a-z0-9.+-]+)"
-    ids = F.create_map(*(F.lit(x) for name in sorted(p.templates) if name != RESERVED for form in (name, f"{name}-only", f"{name}-or-later", f"{name}+") for x in (form.lower(), name)))
+    known = F.create_map(*(F.lit(x) for name in sorted(p.templates) if name != RESERVED for form in (name, f"{name}-only", f"{name}-or-later", f"{name}+") for x in (form.lower(), name)))
     # An SPDX line speaks for itself; a whole text with one is still compared.
-    tagged = units.where(F.col("unit").rlike(tag)).select("doc_id", ids[F.lower(F.regexp_extract("unit", tag, 1))].alias("licence"), (F.col("whole") & ~F.trim("unit").contains("\n")).alias("whole")).where("licence is not null")
+    tagged = units.where(F.col("unit").rlike(tag)).select("doc_id", known[F.lower(F.regexp_extract("unit", tag, 1))].alias("licence"), (F.col("whole") & ~F.trim("unit").contains("\n")).alias("whole")).where("licence is not null")
     words = units.where(F.col("whole") | ~F.col("unit").rlike(tag)).select("doc_id", "no", "whole", words_of("unit").alias("w"))
     # A unit is counted in the task that holds its text; only its different words are shuffled.
     counted = words.select("doc_id", "no", "whole", F.explode("w").alias("word")).groupBy("doc_id", "no", "whole", "word").agg(F.count("*").cast("double").alias("tf"))

@@ -264,8 +264,9 @@ def placed_in(members: DataFrame, label: DataFrame) -> DataFrame:
 def open_buckets(members: DataFrame, label: DataFrame, turn: int) -> DataFrame:
     """(key, node, label, lead) of the buckets that hold several components; lead: another (node, label) of the bucket each turn."""
     placed = placed_in(members, label)
-    mixed = placed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("lead")).where("least < most").select("key", "lead")
-    return placed.join(mixed, "key")
+    mixed = placed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("lead")).where("least < most")
+    # An expression of the key, so that the join deals both sides anew and can split a hot bucket over tasks.
+    return placed.join(mixed.select(F.col("key").bitwiseXOR(F.lit(0).cast("long")).alias("key"), "lead"), "key")
 
 
 def remaining_blocks(members: DataFrame, label: DataFrame, weight: DataFrame, p: Params) -> DataFrame:
