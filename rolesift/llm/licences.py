@@ -4,7 +4,7 @@ A licence has several templates: notices, titles, its standard header and its fu
 Units of a text are its lines, pairs of neighbouring lines (titles), its sentences, its
 paragraphs (lines up to one without letters and digits, so that comment marks part them too)
 and the whole text. A unit is a vector of words (lower case, letters and
-digits) weighted by count times idf. Document frequencies are counted over all texts for
+digits) weighted by (1 + ln count) times idf. Document frequencies are counted over all texts for
 the words of the templates; any other word weighs as one that no text holds, so it needs no
 count. Against notices, titles and headers, so does a word of full texts only. A unit carries the licence of the template with the greatest cosine, if that is at
 least `similarity`; of equal ones the first name. A unit that holds an SPDX line is decided
@@ -165,6 +165,7 @@ def template_weights(terms_of: DataFrame, forms: list[tuple[str, str]], counts:
     idf = {t: math.log((1 + n) / (1 + held.get(t, 0))) + 1 for t in terms}
     own = []
     for c in counts:
+        c = {w: 1 + math.log(k) for w, k in c.items()}  # a word that fills a full text must not outweigh all others
         size = math.sqrt(sum((k * idf[w]) ** 2 for w, k in c.items()))
         own.append({w: k * idf[w] / size for w, k in c.items()})
     return Weights([name for name, _ in forms], own, idf, math.log(1 + n) + 1, held, [sum(c.values()) >= FULL_WORDS for c in counts])
@@ -229,7 +230,7 @@ def own_licences(docs: DataFrame, p: Params = Params(), *, key: str = "doc_id",
     tagged = units.where(F.col("unit").rlike(tag)).select("doc_id", known[F.lower(F.regexp_extract("unit", tag, 1))].alias("licence"), (F.col("whole") & ~F.trim("unit").contains("\n")).alias("whole")).where("licence is not null")
     words = units.where(F.col("whole") | ~F.col("unit").rlike(tag)).select("doc_id", "no", "whole", words_of("unit").alias("w"))
     # A unit is counted in the task that holds its text; only its different words are shuffled.
-    counted = words.select("doc_id", "no", "whole", F.explode("w").alias("word")).groupBy("doc_id", "no", "whole", "word").agg(F.count("*").cast("double").alias("tf"))
+    counted = words.select("doc_id", "no", "whole", F.explode("w").alias("word")).groupBy("doc_id", "no", "whole", "word").agg((1 + F.log(F.count("*").cast("double"))).alias("tf"))
     # As many rows as the templates have words.
     short = {w for own, full in zip(weights.own, weights.full, strict=True) if not full for w in own}
     table = spark.createDataFrame(pa.table({"word": list(weights.idf), "idf": list(weights.idf.values()), "short": [x if w in short else weights.unseen for w, x in weights.idf.items()], "own": [[own.get(w, 0.0) for own in weights.own] for w in weights.idf]}))
