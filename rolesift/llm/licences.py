@@ -215,11 +215,12 @@ def own_licences(docs: DataFrame, p: Params = Params(), *, key: str = "doc_id",
     terms = sorted({w for c in counts for w in c} | {"spdx"})
     terms_of = written(held_terms(docs, terms, key, text), "terms")
     weights = template_weights(terms_of, forms, counts)
-    anchor = r"(?<![\p{L}\p{N}])(" + "|".join(anchors_of(weights, p.similarity)) + r")(?![\p{L}\p{N}])"
+    anchors = anchors_of(weights, p.similarity)
+    anchor = r"(?<![\p{L}\p{N}])(" + "|".join(anchors) + r")(?![\p{L}\p{N}])"
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("__text"))
     most = terms_of.count() / 100
     rare = sorted(w for w in weights.idf if weights.held.get(w, 0) < most)
-    with_rare = written(terms_of.where("doc_id is not null").select("doc_id", "terms", (F.array_intersect("terms", F.lit(rare)) if rare else F.array().cast("array<string>")).alias("rare")), "rare")
+    with_rare = written(terms_of.where("doc_id is not null").where(F.arrays_overlap("terms", F.lit(anchors))).select("doc_id", "terms", (F.array_intersect("terms", F.lit(rare)) if rare else F.array().cast("array<string>")).alias("rare")), "rare")
     ids = with_rare.where(F.array_contains("terms", "spdx") | possible("terms", "rare", set(rare), weights, p.similarity)).select("doc_id").distinct()
     ids = written(ids, "held")
     held = rows.join(sized(ids), "doc_id", "left_semi")
