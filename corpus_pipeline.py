@@ -50,7 +50,7 @@ STAGES = [
     ("byte_bpe", to_tokens),
 ]
 
-#: SQL can't express the classifiers, the signatures or the tokens; no test runs the stages together yet.
+#: SQL can't express the classifiers, the signatures or the tokens; tests/llm/test_pipeline.py compares with plain Python.
 ORACLE_SQL = None
 
 
