@@ -227,21 +227,24 @@ def own_licences(docs: DataFrame, p: Params = Params(), *, key: str = "doc_id",
     units = units_of(held, "__text", anchor).select("doc_id", F.xxhash64("unit", F.length("unit")).alias("no"), "whole", "unit")
     tag = r"(?i)spdx-license-identifier:[ \t(]*([a-z0-9.+-]+)"
     known = F.create_map(*(F.lit(x) for name in sorted(p.templates) if name != RESERVED for form in (name, f"{name}-only", f"{name}-or-later", f"{name}+") for x in (form.lower(), name)))
-    # An SPDX line speaks for itself; a whole text with one is still compared.
-    tagged = units.where(F.col("unit").rlike(tag)).select("doc_id", known[F.lower(F.regexp_extract("unit", tag, 1))].alias("licence"), (F.col("whole") & ~F.trim("unit").contains("\n")).alias("whole")).where("licence is not null")
-    words = units.where(F.col("whole") | ~F.col("unit").rlike(tag)).select("doc_id", "no", "whole", words_of("unit").alias("w"))
+    # An SPDX line speaks for itself; a whole text with one is still compared. It goes along as one more word, of a kind
+    # that no text has (with a blank), so that units are made once: 1 where it is the whole text, then the licence.
+    tagged = F.col("unit").rlike(tag)
+    found = F.concat(F.when(F.col("whole") & ~F.trim("unit").contains("\n"), " 1").otherwise(" 0"), known[F.lower(F.regexp_extract("unit", tag, 1))])
+    words = units.select("doc_id", "no", "whole", F.concat(F.when(F.col("whole") | ~tagged, words_of("unit")).otherwise(F.array().cast("array<string>")), F.array_compact(F.array(F.when(tagged, found)))).alias("w"))
     # A unit is counted in the task that holds its text; only its different words are shuffled.
     counted = words.select("doc_id", "no", "whole", F.explode("w").alias("word")).groupBy("doc_id", "no", "whole", "word").agg((1 + F.log(F.count("*").cast("double"))).alias("tf"))
     # As many rows as the templates have words.
     short = {w for own, full in zip(weights.own, weights.full, strict=True) if not full for w in own}
     table = spark.createDataFrame(pa.table({"word": list(weights.idf), "idf": list(weights.idf.values()), "short": [x if w in short else weights.unseen for w, x in weights.idf.items()], "own": [[own.get(w, 0.0) for own in weights.own] for w in weights.idf]}))
-    weight = lambda c: F.col("tf") * F.coalesce(c, F.lit(weights.unseen))
-    vector = counted.join(F.broadcast(table), "word", "left").select("doc_id", "no", "whole", weight("idf").alias("x"), weight("short").alias("y"), "own")
+    is_tag = F.col("word").startswith(" ")
+    weight = lambda c: F.when(is_tag, 0.0).otherwise(F.col("tf") * F.coalesce(c, F.lit(weights.unseen)))
+    vector = counted.join(F.broadcast(table), "word", "left").select("doc_id", "no", "whole", weight("idf").alias("x"), weight("short").alias("y"), "own", F.when(is_tag, F.col("word")).alias("tag"))
     dots = [F.coalesce(F.sum(F.col("x") * F.col("own")[i]), F.lit(0.0)).alias(f"d{i}") for i in range(len(weights.own))]
-    scored = vector.groupBy("doc_id", "no", "whole").agg(*(F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"__{c}") for c in "xy"), *dots)
-    cosines = F.array(*(F.struct(F.round(F.col(f"d{i}") / F.col("__x" if weights.full[i] else "__y"), 6).alias("cosine"), F.lit(-i).alias("first"), F.lit(name).alias("licence")) for i, name in enumerate(weights.names)))
-    top = scored.select("doc_id", "whole", F.array_max(cosines).alias("b")).where(F.col("b.cosine") >= p.similarity).select("doc_id", "b.licence", "b.cosine", "b.first", "whole")
-    top = top.unionByName(tagged.select("doc_id", "licence", F.lit(1.0).alias("cosine"), F.lit(1).alias("first"), "whole"))
+    scored = vector.groupBy("doc_id", "no", "whole").agg(*(F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"__{c}") for c in "xy"), F.max("tag").alias("tag"), *dots)
+    cosines = F.array(*(F.struct(F.round(F.try_divide(F.col(f"d{i}"), F.col("__x" if weights.full[i] else "__y")), 6).alias("cosine"), F.lit(-i).alias("first"), F.lit(name).alias("licence"), F.col("whole").alias("whole")) for i, name in enumerate(weights.names)))
+    by_tag = F.when(F.col("tag").isNotNull(), F.struct(F.lit(1.0).alias("cosine"), F.lit(1).alias("first"), F.substring("tag", 3, 1000).alias("licence"), F.substring("tag", 2, 1).eqNullSafe("1").alias("whole")))
+    top = scored.select("doc_id", F.explode(F.array_compact(F.array(F.array_max(cosines), by_tag))).alias("b")).select("doc_id", "b.*").where(F.col("cosine") >= p.similarity)
     best = F.struct((F.col("licence") != RESERVED).alias("granted"), "cosine", "first", "licence")
     return top.groupBy("doc_id").agg(F.max(best).alias("b"), F.max("whole").alias("whole")).select("doc_id", "b.licence", "b.cosine", "whole")
 
