@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolesift.functions import pay, text, work
-from rolesift.operators import ranking
+from rolesift.operators import gates, ranking
 from rolesift.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,9 @@ AS_OF = "2024-02-01 00:00:00"
 TERMS_A = [("tion", 1.0), ("ment", 2.5), ("license", 4.0), ("that", 0.5)]
 TERMS_B = [("eau", 1.5), ("ung", 2.0), ("with", 0.5), ("que", 1.0)]
 FLOOR = 4.0
+#: Terms of each side of track A, and the core of track B.
+SIDES = (["license", "ment"], ["that", "tion"])
+CORE = ["eau", "ung"]
 BARS = {"overlap": 6.0, "a_only": 7.0, "b_only": 8.0}
 BANDS = [(20.0, 5.0), (40.0, 4.0), (60.0, 2.5)]
 
@@ -77,12 +80,23 @@ def first_wins_dedupe(spark, d):
     return doc_description_hash(spark, d).groupBy("body_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-_SCORED = f"SELECT doc_id, source, {_sql_score(TERMS_A)} AS score_a, {_sql_score(TERMS_B)} AS score_b FROM documents"
+def _sql_any(terms: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower(text), '{t}')" for t in terms) + ")"
+
+
+_SCORED = f"SELECT doc_id, source, {_sql_score(TERMS_A)} AS score_a, {_sql_score(TERMS_B)} AS score_b, coalesce({_sql_any(SIDES[0])} AND {_sql_any(SIDES[1])}, false) AS sides, coalesce({_sql_any(CORE)}, false) AS core FROM documents"
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     body = F.lower("text")
-    return table(spark, d, "documents").select("doc_id", "source", ranking.vocabulary_score(body, TERMS_A).alias("score_a"), ranking.vocabulary_score(body, TERMS_B).alias("score_b"), text.body_hash("text").alias("body_hash"))
+    sides = gates.both_sides(ranking.matched(body, TERMS_A), *SIDES).alias("sides")
+    core = F.coalesce(F.arrays_overlap(ranking.matched(body, TERMS_B), F.lit(CORE)), F.lit(False)).alias("core")
+    return table(spark, d, "documents").select("doc_id", "source", ranking.vocabulary_score(body, TERMS_A).alias("score_a"), ranking.vocabulary_score(body, TERMS_B).alias("score_b"), sides, core, text.body_hash("text").alias("body_hash"))
+
+
+@query("both_sides", f"SELECT doc_id, sides, core FROM ({_SCORED})")
+def both_sides(spark, d):
+    return scored(spark, d).select("doc_id", "sides", "core")
 
 
 @query("term_score_capped", f"SELECT doc_id, score_a, score_b FROM ({_SCORED})")
@@ -142,16 +156,52 @@ def evergreen_flag(spark, d):
     return rows.select("doc_id", ((F.col("watched") > 25) & (F.col("watched") - F.col("age") > 12.5)).alias("evergreen"))
 
 
-_GATES = f"""SELECT b.doc_id, b.bucket, b.score, CASE WHEN l.doc_id IS NOT NULL THEN 'suppressed' WHEN age > 60 THEN 'stale'
- WHEN score_a < {FLOOR} AND score_b < {FLOOR} THEN 'irrelevant' END AS reason
-FROM (SELECT *, {_AGE} AS age FROM ({_BUCKETED})) b LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 0) l ON b.doc_id = l.doc_id"""
+# Roles, places, pay and demands come from the id, since the table has none; most rows hold nothing that a gate rejects.
+_ROLE = "CASE doc_id % 23 WHEN 0 THEN 'Vice President, Growth' WHEN 1 THEN 'Owner of change, CRO' WHEN 2 THEN 'VP, CMO' WHEN 3 THEN 'Manager, web and CRO' WHEN 4 THEN 'Senior software engineer' WHEN 5 THEN 'Head of growth' ELSE 'Programme lead' END"
+_PLACE = "CASE doc_id % 19 WHEN 0 THEN 'London, United Kingdom' WHEN 1 THEN 'Newark, NJ; Denver' WHEN 2 THEN 'CA - San Francisco' WHEN 3 THEN 'Austin, TX (Belmont Campus)' ELSE 'Newark, CA' END"
+_PAY = "CASE WHEN doc_id % 7 < 3 THEN CAST(145000 + doc_id % 101 * 1000 AS INT) END"
+_DEMAND = "CASE doc_id % 17 WHEN 0 THEN 'A PhD is required.' WHEN 1 THEN 'An MS or PhD in physics.' WHEN 2 THEN 'PhD in physics.' WHEN 3 THEN 'You must relocate.' ELSE 'Any degree.' END"
+PROFILE = gates.Profile(cities={"San Francisco": 35, "Belmont": 10, "Newark": 45, "Sacramento": 120}, floor_a=FLOOR, floor_b=FLOOR)
+
+
+def posted(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"role": F.expr(_ROLE), "place": F.expr(_PLACE), "pay_max": F.expr(_PAY), "demand": F.expr(_DEMAND)})
+
+
+def _bands(bands: tuple[str, ...]) -> str:
+    return rf"(?i)\b({'|'.join(bands)})\b"
+
+
+# A code of a chief after the last comma is the organisation's, unless what stands before holds a band; CRO may be conversion.
+_OTHER_BANDS = tuple(b for b in gates.BANDS if b not in ("cro", "cmo", "cto", "coo"))
+_CODE = rf"(regexp_matches(role, '{_bands(('cmo', 'cto', 'coo'))}') OR (regexp_matches(role, '{_bands(('cro',))}') AND NOT regexp_matches(role, '(?i){gates.CONVERSION}')))"
+_ORG = rf"(regexp_matches(role, '(?i),\s*(cro|cmo|cto|coo|cio){gates.ORG_WORDS}$') AND NOT regexp_matches(regexp_replace(role, ',[^,]*$', ''), '{_bands(gates.BANDS)}'))"
+_BANDED = f"(regexp_matches(role, '{_bands(_OTHER_BANDS)}') OR ({_CODE} AND NOT {_ORG}))"
+_EXEMPT = "(" + " OR ".join(f"regexp_matches(demand, '(?i){p}')" for p in gates.OPTIONAL_DEGREE) + ")"
+_KILLER = "CASE " + " ".join(f"WHEN regexp_matches(demand, '(?i){p}') AND NOT {_EXEMPT if name in gates.EXEMPTIONS else 'false'} THEN '{name}'" for name, p in gates.KILLERS.items()) + " END"
+_TRACK_A = f"coalesce(sides AND score_a >= {FLOOR}, false)"
+_TRACK_B = f"coalesce(core AND score_b >= {FLOOR}, false) AND NOT {_BANDED} AND NOT regexp_matches(role, '(?i)head of')"
+_GATES = f"""SELECT b.doc_id, b.bucket, b.score, CASE WHEN l.doc_id IS NOT NULL THEN 'suppressed' WHEN age > 60 THEN 'stale' WHEN {_BANDED} THEN 'title_band'
+ WHEN regexp_matches(role, '(?i)\\b({"|".join(gates.OTHER_TRADES)})\\b') THEN 'other_trade' WHEN regexp_matches(place, 'London|, NJ|, TX') THEN 'too_far'
+ WHEN pay_max < 150000 THEN 'pay_floor' WHEN {_KILLER} IS NOT NULL THEN {_KILLER} WHEN NOT ({_TRACK_A}) AND NOT ({_TRACK_B}) THEN 'irrelevant' END AS reason
+FROM (SELECT *, {_AGE} AS age, {_ROLE} AS role, {_PLACE} AS place, {_PAY} AS pay_max, {_DEMAND} AS demand FROM ({_BUCKETED})) b LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 0) l ON b.doc_id = l.doc_id"""
 
 
 def gated(spark: SparkSession, d: str) -> DataFrame:
+    """The first gate that a posting fails, in the order of the cascade: suppressed, stale, title, trade, geography, pay, demands, relevance."""
     skip = table(spark, d, "labels").where("quality = 0").select("doc_id").distinct().withColumn("skip", F.lit(True))
-    rows = dated(bucketed(spark, d)).join(skip, "doc_id", "left")
-    gates = [("suppressed", F.col("skip")), ("stale", F.col("age") > 60), ("irrelevant", (F.col("score_a") < FLOOR) & (F.col("score_b") < FLOOR))]
-    return rows.withColumn("reason", ranking.first_reason(gates))
+    rows = posted(dated(bucketed(spark, d))).join(skip, "doc_id", "left")
+    role, nothing = F.col("role"), F.lit(None).cast("string")
+    found = gates.tracks(F.col("score_a"), F.col("sides"), F.col("score_b"), F.col("core"), role, PROFILE)
+    checks = [
+        ("suppressed", F.col("skip")),
+        ("stale", F.col("age") > PROFILE.freshness_days),
+        ("title_band", gates.title_band(role, PROFILE.bands).isNotNull()),
+        ("other_trade", gates.out_of_domain(role)),
+        ("too_far", gates.too_far(nothing, nothing, F.col("place"), F.array().cast("array<string>"), PROFILE)),
+        ("pay_floor", F.col("pay_max") < PROFILE.pay_floor),
+    ]
+    return rows.withColumn("reason", F.coalesce(ranking.first_reason(checks), gates.killer(F.col("demand")), F.when(F.size(found) == 0, "irrelevant")))
 
 
 @query("gate_reason_cascade", f"SELECT doc_id, reason FROM ({_GATES})")
