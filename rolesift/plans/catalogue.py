@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.functions import pay, text, work
+from rolesift.functions import pay, sections, text, work
 from rolesift.operators import gates, ranking
 from rolesift.session import table
 
@@ -377,6 +377,32 @@ def section_carry_forward(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), True).over(lines).alias("heading"))
 
 
+# The table's texts have no headings: four kinds of posting are made around them.
+_BODY = "coalesce(text, '')"
+_POSTED_BODY = f"""CASE doc_id % 4 WHEN 0 THEN 'About the role' || chr(10) || {_BODY} || chr(10) || 'Your impact' || chr(10) || lang || chr(10) || 'Boston Pay Range' || chr(10) || source
+ WHEN 1 THEN 'Requirements' || chr(10) || {_BODY} || chr(10) || 'Nice to have' || chr(10) || lang || chr(10) || 'Perks' || chr(10) || source
+ WHEN 2 THEN {_BODY} || chr(10) || '- Build ' || lang || chr(10) || '- ' || lang || chr(10) || '- ' || source ELSE {_BODY} END"""
+_BARE = f"regexp_replace({_BODY}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query("section_extract", f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN {_BARE} ELSE '' END AS overview,
+ CASE doc_id % 4 WHEN 0 THEN lang WHEN 2 THEN '- Build ' || lang || chr(10) || '- ' || lang || chr(10) || '- ' || source ELSE '' END AS responsibilities,
+ CASE doc_id % 4 WHEN 1 THEN {_BARE} || chr(10) || 'Nice to have' || chr(10) || lang ELSE '' END AS requirements, CASE doc_id % 4 WHEN 3 THEN {_BARE} ELSE '' END AS "full",
+ CASE doc_id % 4 WHEN 0 THEN 'heading "Your impact"' WHEN 1 THEN 'no responsibilities heading found - captured "Requirements" instead' WHEN 2 THEN 'unlabelled bullet list (no headings matched)'
+ ELSE CASE WHEN {_BARE} = '' THEN 'no description stored' ELSE 'full-text fallback - no headings matched, whole posting saved' END END AS via FROM documents""")
+def section_extract(spark, d):
+    """No shuffle: a text's lines are an array, and a section is a slice of it."""
+    rows = table(spark, d, "documents").select("doc_id", F.expr(_POSTED_BODY).alias("body"))
+    return sections.with_sections(rows, "body").select("doc_id", "sections.*")
+
+
+@query("heading_kinds", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'responsibilities' WHEN 1 THEN 'requirements' WHEN 2 THEN 'stop' WHEN 3 THEN 'overview' END AS kind FROM documents")
+def heading_kinds(spark, d):
+    """Headings made around the source, since the table has none."""
+    line = F.expr("CASE doc_id % 5 WHEN 0 THEN '## In this role as ' || source || ', you will:' WHEN 1 THEN 'Preferred ' || source || ' qualifications' WHEN 2 THEN source || ' salary range' WHEN 3 THEN ' *Overview*' ELSE '- ' || source END")
+    return table(spark, d, "documents").select("doc_id", sections.heading_kind(F.regexp_replace(line, r"[#*]", "")).alias("kind"))
+
+
 @query("salary_parse")
 def salary_parse(spark, d):
     return table(spark, d, "documents").select("doc_id", pay.pay_range("text").alias("r")).select("doc_id", "r.low", "r.high")

@@ -244,12 +244,6 @@ def missing_dimensions(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(F.array_except(need, F.split("p_name", " ")), ",").alias("missing"))
 
 
-@query("both_sides", "SELECT doc_id, regexp_matches(lower(text), '(tion|ment)') AND regexp_matches(lower(text), '(the |der |que )') AS both_sides FROM documents")
-def both_sides(spark, d):
-    low = F.coalesce(F.lower("text"), F.lit(""))
-    return table(spark, d, "documents").select("doc_id", (low.rlike("(tion|ment)") & low.rlike("(the |der |que )")).alias("both_sides"))
-
-
 @query("priority_then_cap", "SELECT p_partkey, place FROM (SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_name LIKE '%red%' THEN 0 ELSE 1 END, p_partkey) AS place FROM part) WHERE place <= 50")
 def priority_then_cap(spark, d):
     order = [F.when(F.col("p_name").contains("red"), 0).otherwise(1), F.col("p_partkey")]
