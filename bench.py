@@ -12,6 +12,8 @@ HEADLINE = ["doc_fingerprint", "term_score_capped", "clone_collapse", "rank_unse
 if __name__ == "__main__":
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"))
+    # Once unmeasured, so that no query pays for the start of the JVM and of code generation.
+    QUERIES[HEADLINE[0]](spark, folder).limit(1000).write.format("noop").mode("overwrite").save()
     took = {}
     for name in HEADLINE:
         start = time.perf_counter()
