@@ -23,6 +23,13 @@ URLS = {
     "smartrecruiters": "https://api.smartrecruiters.com/v1/companies/{slug}/postings?limit={limit}&offset={offset}",
     "smartrecruiters_detail": "https://api.smartrecruiters.com/v1/companies/{slug}/postings/{posting_id}",
     "workable": "https://apply.workable.com/api/v1/widget/accounts/{slug}?details=true",
+    "workday": "https://{tenant}.{instance}.myworkdayjobs.com/wday/cxs/{tenant}/{site}/jobs",
+    "workday_page": "https://{tenant}.{instance}.myworkdayjobs.com/{site}{path}",
+    "workday_detail": "https://{tenant}.{instance}.myworkdayjobs.com/wday/cxs/{tenant}/{site}{path}",
+    "eightfold": "https://{sub}.eightfold.ai/api/pcsx/search?domain={domain}&query=&start={start}&num=10",
+    "eightfold_detail": "https://{sub}.eightfold.ai/api/apply/v2/jobs/{posting_id}?domain={domain}",
+    "eightfold_page": "https://{sub}.eightfold.ai/careers/job/{posting_id}",
+    "eightfold_path": "https://{sub}.eightfold.ai{path}",
 }
 
 
@@ -54,9 +61,9 @@ def _jobs(rows: DataFrame, schema: str) -> DataFrame:
     return rows.select("company", "slug", F.explode(F.from_json("payload", f"struct<{schema}>")[name]).alias("job")).where("job is not null").select("company", "slug", "job.*")
 
 
-def _posting(rows: DataFrame, ats: str, made: dict[str, Column], *, stated: Column | None = None, flag: Column | None = None, own_pay: tuple[Column, Column] | None = None, pay_texts: tuple[str, ...] = ("description",), remote: Column | None = None, address_: dict[str, Column] | None = None) -> DataFrame:
+def _posting(rows: DataFrame, ats: str, made: dict[str, Column], *, stated: Column | None = None, flag: Column | None = None, own_pay: tuple[Column, Column] | None = None, pay_texts: tuple[str, ...] = ("description",), remote: Column | None = None, address_: dict[str, Column] | None = None, sure: Column | None = None) -> DataFrame:
     """The canonical row, with what every feed derives alike: place, work model, pay, mentions, date."""
-    out = rows.select("company", "slug", *(c.alias(n) for n, c in made.items()), (stated if stated is not None else F.lit(None).cast("string")).alias("stated"), (flag if flag is not None else F.lit(None).cast("boolean")).alias("flag"), *(c.alias(n) for c, n in zip(own_pay or (F.lit(None).cast("int"),) * 2, ("own_low", "own_high"), strict=True)), (remote if remote is not None else F.lit(None).cast("boolean")).alias("remote_flag"), *(c.alias(f"own_{n}") for n, c in (address_ or {}).items()))
+    out = rows.select("company", "slug", *(c.alias(n) for n, c in made.items()), (sure if sure is not None else F.lit(True)).alias("sure"), (stated if stated is not None else F.lit(None).cast("string")).alias("stated"), (flag if flag is not None else F.lit(None).cast("boolean")).alias("flag"), *(c.alias(n) for c, n in zip(own_pay or (F.lit(None).cast("int"),) * 2, ("own_low", "own_high"), strict=True)), (remote if remote is not None else F.lit(None).cast("boolean")).alias("remote_flag"), *(c.alias(f"own_{n}") for n, c in (address_ or {}).items()))
     out = out.withColumn("place", location.location("location_raw")).withColumn("model", work.work_model(F.col("stated"), F.col("flag"), F.col("location_raw"), F.col("description")))
     for i, c in enumerate(pay_texts):
         out = out.withColumn(f"pay{i}", pay.pay_range(c))
@@ -82,7 +89,7 @@ def _posting(rows: DataFrame, ats: str, made: dict[str, Column], *, stated: Colu
         pay.names_equity(said).alias("equity_mentioned"),
         pay.names_bonus(said).alias("bonus_mentioned"),
         work.moment(F.col("published")).alias("published_at"),
-        F.when(work.moment(F.col("published")).isNotNull(), "high").otherwise("none").alias("date_confidence"),
+        F.when(work.moment(F.col("published")).isNotNull(), F.when(F.col("sure"), "high").otherwise("low")).otherwise("none").alias("date_confidence"),
         "description",
     )
 
@@ -175,4 +182,75 @@ def workable(rows: DataFrame) -> DataFrame:
     return _posting(jobs, "workable", made, stated=F.when(remote, "Remote"), flag=remote, remote=remote)
 
 
+def _slug_parts(slug: Column | str, names: tuple[str, ...]) -> tuple[Column, dict[str, Column]]:
+    """(whether the slug has just these parts, none empty; the parts by name). Parts stand between colons."""
+    parts = F.split(F.coalesce(F.col(slug) if isinstance(slug, str) else slug, F.lit("")), ":")
+    whole = (F.size(parts) == len(names)) & ~F.exists(parts, lambda x: F.trim(x) == "")
+    return whole, {n: F.trim(F.get(parts, F.lit(i))) for i, n in enumerate(names)}
+
+
+def workday_address(slug: Column | str, feed: str = "workday", path: Column | str = "") -> Column:
+    """The address of a slug tenant:instance:site; empty for another form of slug. Pages and details need the posting's path."""
+    whole, parts = _slug_parts(slug, ("tenant", "instance", "site"))
+    at = path if isinstance(path, Column) else F.lit(path)
+    rooted = F.when((feed == "workday_detail") & ~F.startswith(at, F.lit("/")), F.concat(F.lit("/"), at)).otherwise(at)
+    return F.when(whole, address(feed, slug, **parts, path=F.coalesce(rooted, F.lit("")))).otherwise("")
+
+
+def eightfold_address(slug: Column | str, feed: str = "eightfold", **more: Column | str | int) -> Column:
+    """The address of a slug subdomain:domain; empty where the first part can't be a host name's label."""
+    whole, parts = _slug_parts(slug, ("sub", "domain"))
+    label = parts["sub"].rlike("(?i)^[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?$")
+    return F.when(whole & label, address(feed, slug, **parts, **more)).otherwise("")
+
+
+def _with_details(jobs: DataFrame, details: DataFrame, key: str, schema: str) -> DataFrame:
+    """The jobs with a struct d from details (slug, posting_id, payload), one row a job."""
+    told = details.select(F.col("slug").alias("d_slug"), F.col("posting_id").alias("d_id"), F.from_json("payload", schema).alias("d")).dropDuplicates(["d_slug", "d_id"])
+    return jobs.join(told, (F.col("slug") == F.col("d_slug")) & (F.col(key) == F.col("d_id")), "left")
+
+
+def workday(rows: DataFrame, details: DataFrame, as_of: Column | str) -> DataFrame:
+    """Details are joined by externalPath. 'Posted 5 Days Ago' is counted back from as_of, the time at which the list was landed."""
+    jobs = _jobs(rows, "jobPostings: array<struct<title: string, externalPath: string, locationsText: string, postedOn: string, bulletFields: array<string>>>")
+    jobs = _with_details(jobs, details, "externalPath", "struct<jobPostingInfo: struct<jobDescription: string, location: string, startDate: string, postedOn: string, externalUrl: string, remoteType: string, jobPostingTitle: string, timeType: string>>")
+    info = lambda n: F.col(f"d.jobPostingInfo.{n}")
+    now = (F.lit(as_of) if isinstance(as_of, str) else as_of).cast("timestamp")
+    stated = F.coalesce(_blank(info("startDate")), info("postedOn"))
+    told = F.coalesce(_blank(F.col("postedOn")), info("postedOn"))
+    ago = F.when(F.contains(F.lower(told), F.lit("today")), 0).otherwise(F.regexp_extract(told, r"(?i)(\d+)\+?\s*days?\s+ago", 1).try_cast("int"))
+    back = F.timestamp_seconds(F.unix_timestamp(now) - ago * 86_400).cast("string")
+    where, path = F.coalesce(_blank(info("location")), "locationsText"), F.coalesce("externalPath", F.lit(""))
+    link = F.coalesce(_blank(workday_address("slug", "workday_page", path)), _text(info("externalUrl")))
+    made = {
+        "source_id": F.coalesce(_blank(_text(F.get("bulletFields", F.lit(0)))), F.regexp_extract(path, "([^/]*)/*$", 1)), "title": _text(F.coalesce(_blank(F.col("title")), info("jobPostingTitle"))), "url": link, "apply_url": link, "location_raw": _text(where),
+        "department": F.lit(""), "team": F.lit(""), "employment_type": _text(info("timeType")), "salary_raw": F.lit(""),
+        "published": F.when(work.moment(stated).isNotNull(), stated).otherwise(back), "description": text.html_text(info("jobDescription")),
+    }
+    remote = _blank(_text(info("remoteType")))
+    return _posting(jobs, "workday", made, stated=remote, flag=remote.isNotNull() | F.coalesce(F.contains(F.lower(where), F.lit("remote")), F.lit(False)))
+
+
+def eightfold(rows: DataFrame, details: DataFrame) -> DataFrame:
+    """Details are joined by id. Without a time of posting the time at which the job was made counts, with low confidence; jobs without a title are left out."""
+    inner = rows.withColumn("payload", F.get_json_object("payload", "$.data"))
+    jobs = _jobs(inner, "positions: array<struct<id: string, displayJobId: string, name: string, positionUrl: string, standardizedLocations: array<string>, locations: array<string>, location: string, postedTs: string, creationTs: string, workLocationOption: string>>")
+    jobs = _with_details(jobs, details, "id", "struct<id: string, display_job_id: string, name: string, posting_name: string, job_description: string, canonicalPositionUrl: string, locations: array<string>, location: string, t_create: string, work_location_option: string, custom_JD: struct<data_fields: struct<timeType: array<string>>>>")
+    first = lambda c: F.when(F.size(c) > 0, F.coalesce(F.get(c, F.lit(0)), F.lit("")))
+    where = F.coalesce(first("standardizedLocations"), first("locations"), _blank(F.col("location")), first("d.locations"), F.col("d.location"))
+    positive = lambda c: F.when(F.col(c).try_cast("double") > 0, F.col(c))
+    posted, number = positive("postedTs"), F.coalesce(_blank(F.col("id")), "d.id")
+    page = F.when(F.coalesce(number, F.lit("")) != "", eightfold_address("slug", "eightfold_page", posting_id=number))
+    by_path = F.when(F.coalesce("positionUrl", F.lit("")) != "", eightfold_address("slug", "eightfold_path", path=F.col("positionUrl")))
+    link = F.coalesce(_blank(_text("d.canonicalPositionUrl")), _blank(page), _blank(by_path), F.lit(""))
+    made = {
+        "source_id": F.coalesce(_blank(_text(F.coalesce(_blank(F.col("displayJobId")), "d.display_job_id"))), number), "title": _text(F.coalesce(_blank(F.col("name")), _blank(F.col("d.name")), "d.posting_name")), "url": link, "apply_url": link, "location_raw": _text(where),
+        "department": F.lit(""), "team": F.lit(""), "employment_type": _text(F.get("d.custom_JD.data_fields.timeType", F.lit(0))), "salary_raw": F.lit(""),
+        "published": F.coalesce(posted, positive("d.t_create"), positive("creationTs")), "description": text.html_text("d.job_description"),
+    }
+    option = _blank(_text(F.coalesce(_blank(F.col("workLocationOption")), "d.work_location_option")))
+    out = _posting(jobs, "eightfold", made, stated=option, flag=F.coalesce(F.contains(F.lower(where), F.lit("remote")), F.lit(False)), sure=posted.isNotNull())
+    return out.where("title <> ''")
+
+
 ADAPTERS = {"greenhouse": greenhouse, "ashby": ashby, "lever": lever, "workable": workable}

@@ -88,6 +88,31 @@ def test_workable(spark):
     assert (b.source_id, b.url, b.apply_url, b.city, b.region, b.work_model) == ("2", "https://x/o", "https://x/o", "Oak", "TX", "On-site")
 
 
+def test_workday(spark):
+    jobs = [{"title": "Dev", "externalPath": "/job/Elm/Dev_R1", "locationsText": "2 places", "postedOn": "Posted 5 Days Ago", "bulletFields": ["R-1"]}, {"title": "Ops", "externalPath": "/job/Oak/Ops_R2", "locationsText": "Oak, TX", "postedOn": "Posted Today"}, {"title": "Old", "externalPath": "/job/o/R3", "postedOn": "Posted Long Ago"}]
+    details = spark.createDataFrame([("t:wd1:site", "/job/Elm/Dev_R1", json.dumps({"jobPostingInfo": {"jobDescription": "<p>Pay $100,000 - $120,000</p>", "location": "US-CA-Menlo Park", "remoteType": "Hybrid", "timeType": "Full time"}}))], "slug string, posting_id string, payload string")
+    frame = feeds.workday(landed(spark, {"jobPostings": jobs}, "t:wd1:site"), details, "2024-03-10 12:00:00")
+    assert frame.columns == feeds.COLUMNS
+    a, c, b = sorted(frame.collect(), key=lambda r: r.title)
+    assert (a.source_id, a.url, a.city, a.work_model, a.employment_type, a.salary_min, a.published_at) == ("R-1", "https://t.wd1.myworkdayjobs.com/site/job/Elm/Dev_R1", "Menlo Park", "Hybrid", "Full time", 100000, datetime(2024, 3, 5, 12))
+    assert (b.source_id, b.city, b.published_at, b.date_confidence) == ("Ops_R2", "Oak", datetime(2024, 3, 10, 12), "high")
+    assert (c.title, c.published_at, c.date_confidence) == ("Old", None, "none")
+    got = spark.createDataFrame([("t:wd1:site",), ("t:site",), (None,)], "slug string").select(feeds.workday_address("slug").alias("a"), feeds.workday_address("slug", "workday_detail", "job/x").alias("b")).collect()
+    assert [tuple(r) for r in got] == [("https://t.wd1.myworkdayjobs.com/wday/cxs/t/site/jobs", "https://t.wd1.myworkdayjobs.com/wday/cxs/t/site/job/x"), ("", ""), ("", "")]
+
+
+def test_eightfold(spark):
+    jobs = [{"id": 5, "displayJobId": "J5", "name": "Dev", "standardizedLocations": ["Austin, TX, US"], "postedTs": 1704067200}, {"id": 6, "name": "Ops", "locations": ["US, CA, Santa Clara"], "creationTs": 1704067200}, {"id": 7, "name": ""}]
+    details = spark.createDataFrame([("acme:acme.com", "5", json.dumps({"job_description": "<p>Do</p>", "work_location_option": "remote", "custom_JD": {"data_fields": {"timeType": ["Full time"]}}}))], "slug string, posting_id string, payload string")
+    frame = feeds.eightfold(landed(spark, {"data": {"positions": jobs, "count": 3}}, "acme:acme.com"), details)
+    assert frame.columns == feeds.COLUMNS
+    a, b = sorted(frame.collect(), key=lambda r: r.title)
+    assert (a.source_id, a.url, a.city, a.region, a.work_model, a.employment_type, a.description, a.published_at, a.date_confidence) == ("J5", "https://acme.eightfold.ai/careers/job/5", "Austin", "TX", "Remote", "Full time", "Do", datetime(2024, 1, 1), "high")
+    assert (b.source_id, b.city, b.region, b.date_confidence) == ("6", "Santa Clara", "CA", "low")
+    got = spark.createDataFrame([("acme:acme.com",), ("-bad:acme.com",), ("acme",)], "slug string").select(feeds.eightfold_address("slug", start=10).alias("a")).collect()
+    assert [r.a for r in got] == ["https://acme.eightfold.ai/api/pcsx/search?domain=acme.com&query=&start=10&num=10", "", ""]
+
+
 def test_addresses(spark):
     row = spark.createDataFrame([("acme",)], "slug string").select(feeds.address("lever", "slug").alias("a"), feeds.address("smartrecruiters", "slug", limit=100, offset=200).alias("b")).first()
     assert row.a == "https://api.lever.co/v0/postings/acme?mode=json" and row.b.endswith("acme/postings?limit=100&offset=200")
