@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolesift.llm import bpe, decontamination, html_text, langid, lattice, licences, lm, minhash, token_shards, toxicity
+from rolesift.llm import bpe, decontamination, hard_negatives, html_text, langid, lattice, licences, lm, minhash, token_shards, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": licences.op8_license_scan,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": decontamination.ORACLE_SQL}
+    return {"op9_decontamination": decontamination.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
