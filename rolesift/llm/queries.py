@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolesift.llm import bpe, decontamination, hard_negatives, html_text, langid, lattice, licences, lm, minhash, secrets, token_shards, toxicity
+from rolesift.llm import bpe, decontamination, hard_negatives, html_text, langid, lattice, licences, lm, minhash, prefix_trie, secrets, token_shards, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_secret_scan": secrets.op11_secret_scan,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
         "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": decontamination.ORACLE_SQL, "op11_secret_scan": secrets.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
+    return {
+        "op9_decontamination": decontamination.ORACLE_SQL,
+        "op11_secret_scan": secrets.ORACLE_SQL,
+        "op12_prefix_trie": prefix_trie.ORACLE_SQL,
+        "op13_hard_negatives": hard_negatives.ORACLE_SQL,
+    }
