@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.operators.ranking import first_reason
@@ -102,18 +102,47 @@ def out_of_domain(title: Column) -> Column:
     return _has(title, rf"\b({'|'.join(OTHER_TRADES)})\b")
 
 
-def reachable(places: Column, profile: Profile) -> Column:
-    """Whether a written location names a city within the limit: followed by California, a separator or a word that leaves the city as it is, and not by another state."""
-    text = F.lower(places)
+def _layers(cities: list[str]) -> list[list[str]]:
+    """Cities in sets of which none begins another, so that one alternation finds all of a set."""
+    layers: list[list[str]] = []
+    for city in sorted(cities, key=lambda c: (len(c), c)):
+        free = next((x for x in layers if not any(city.startswith(y) for y in x)), None)
+        if free is None:
+            layers.append(free := [])
+        free.append(city)
+    return layers
+
+
+def reachable_cities(places: Column, profile: Profile) -> Column:
+    """array<struct<minutes, city>>, nearest first: the cities within the limit that a written location names. What follows the first mention decides: California, a separator or a word that leaves the city as it is, and not another state.
 
-    def named(city: str) -> Column:
-        after = F.regexp_extract(text, rf"(?sU)\b{re.escape(city.lower())}\b(.{{0,40}})", 1)
-        there = _has(text, rf"\b{re.escape(city.lower())}\b")
+    One alternation over all cities looks ahead, so that cities may overlap and each brings the 40 characters after it.
+    """
+    near = {city.lower(): (minutes, city) for city, minutes in profile.cities.items() if minutes <= profile.commute_limit}
+    kind = "array<struct<minutes:int,city:string>>"
+    if not near:
+        return F.array().cast(kind)
+    text = F.lower(F.coalesce(places, F.lit("")))
+    known = F.create_map(*(x for low, (minutes, city) in near.items() for x in (F.lit(low), F.struct(F.lit(int(minutes)).alias("minutes"), F.lit(city).alias("city")))))
+
+    def stands(after: Column) -> Column:
         state = _has(after, rf"^,\s*({'|'.join(STATE_CODES)})\b") | _has(after, rf"^,?\s*({'|'.join(STATE_NAMES)})\b")
         alone = _has(after, r"^\s*($|[|;/,)(\-])") | _has(after, AFTER_CITY)
-        return there & (_has(after, r"^,?\s*(ca|calif|california)\b") | (~state & alone))
+        return _has(after, r"^,?\s*(ca|calif|california)\b") | (~state & alone)
 
-    return _any([named(city) for city, minutes in profile.cities.items() if minutes <= profile.commute_limit])
+    found = []
+    for layer in _layers(list(near)):
+        pattern = rf"(?sU)(?=\b({'|'.join(re.escape(c) for c in layer)})\b(.{{0,40}}))"
+        named = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("city"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("after"))
+        # Later mentions of a city say nothing. The outer array of one binds the matches to a name.
+        kept = F.flatten(F.transform(F.array(named), lambda n: F.filter(n, lambda x, i: (F.array_position(n.getField("city"), x["city"]) == i + 1) & stands(x["after"]))))
+        found.append(F.transform(kept, lambda x: F.element_at(known, x["city"])))
+    return F.array_sort(F.flatten(F.array(*found)).cast(kind))
+
+
+def reachable(places: Column, profile: Profile) -> Column:
+    """Whether a written location names a city within the limit."""
+    return F.size(reachable_cities(places, profile)) > 0
 
 
 def based_within(clauses: Column, profile: Profile) -> Column:
@@ -146,3 +175,44 @@ def tracks(score_a: Column, sides: Column, score_b: Column, core: Column, title:
     a = F.coalesce(sides & (score_a >= profile.floor_a), F.lit(False))
     outweighed = b & F.coalesce((score_a != 0) & (score_b >= profile.growth_share * score_a), F.lit(False))
     return F.array_compact(F.array(F.when(a & ~outweighed, "a"), F.when(b, "b")))
+
+
+def with_sightings(rows: DataFrame, key: list[str], order: str, log: DataFrame, log_key: list[str]) -> DataFrame:
+    """`rows` with first_sighting: the first row of its key in the batch, of a key that the log doesn't know. log: a row for each known key, with `watched`, the days since it was first seen.
+
+    The first row of a key is a minimum, taken before the shuffle, and not a sort of the key's rows.
+    """
+    first = rows.groupBy(*key).agg(F.min(order).alias("__first"))
+    joined = rows.join(first, key, "left").join(log, log_key, "left")
+    return joined.withColumn("first_sighting", (F.col(order) == F.col("__first")) & F.col("watched").isNull()).drop("__first")
+
+
+def flags(age: Column, first_sighting: Column, watched: Column, evergreen_days: float) -> Column:
+    """What a posting is told to be without being rejected for it: undated, or watched for much longer than its date says."""
+    undated = F.when(age.isNull() & first_sighting, "no_publish_date")
+    reposted = F.when((watched > evergreen_days) & (watched - age > evergreen_days / 2), "evergreen_or_reposted")
+    return F.array_compact(F.array(undated, reposted))
+
+
+def early_gates(rows: DataFrame, profile: Profile, evergreen_days: float) -> DataFrame:
+    """`rows` (skip, age, first_sighting, watched, role, model, place, pay_max, demand) with the reason of the first gate before relevance, and flags."""
+    role, nothing = F.col("role"), F.lit(None).cast("string")
+    checks = [
+        ("suppressed", F.col("skip")),
+        ("undated", F.col("age").isNull() & ~F.col("first_sighting")),
+        ("stale", F.col("age") > profile.freshness_days),
+        ("title_band", title_band(role, profile.bands).isNotNull()),
+        ("other_trade", out_of_domain(role)),
+        ("too_far", too_far(nothing, F.col("model"), F.col("place"), F.array().cast("array<string>"), profile)),
+        ("pay_floor", F.col("pay_max") < profile.pay_floor),
+    ]
+    reason = F.coalesce(first_reason(checks), killer(F.col("demand")))
+    return rows.withColumns({"reason": reason, "flags": flags(F.col("age"), F.col("first_sighting"), F.col("watched"), evergreen_days)})
+
+
+def with_tracks(rows: DataFrame, title: Column, profile: Profile) -> DataFrame:
+    """`rows` (score_a, sides, score_b, core) with tracks, and the reason where there is none: a growth match whose title is above the band, one side missing, or a score below its floor."""
+    found = tracks(F.col("score_a"), F.col("sides"), F.col("score_b"), F.col("core"), title, profile)
+    growth = F.coalesce(F.col("core") & (F.col("score_b") >= profile.floor_b), F.lit(False))
+    reason = F.when(F.size(found) == 0, F.when(growth, "growth_title").when(~F.coalesce("sides", F.lit(False)), "one_sided").otherwise("below_floor"))
+    return rows.withColumns({"tracks": found, "reason": reason})
