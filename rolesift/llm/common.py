@@ -36,7 +36,9 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     path = scratch_path(spark, name)
     with shuffles_freed(spark):
         df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.scratch = path
+    return made
 
 
 @contextlib.contextmanager
@@ -61,10 +63,9 @@ def free_name(taken: Iterable[str], name: str) -> str:
 
 
 def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
-    """Removes the files of a table from written(), once nothing reads it."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    """Removes the files of a table that written() returned, once nothing reads it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, chars: int = 4_000_000, text: str | None = None) -> Iterator[pa.RecordBatch]:

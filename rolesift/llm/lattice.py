@@ -14,9 +14,10 @@ block against block, and no pair is ever a row.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing and are components of their own, and so do vectors of another length than
-the compared one. Rows with one id are one vector, the one with the smallest
-components. Rows without an id are left out. Ids may be of any type with an order. Ties
-(equal vectors) are one node, and link with each other. An empty table gives no rows.
+the compared one. Every row is a vector of its own: rows with one id are told apart, and
+link only where their vectors do. Rows without an id link like others, and name no component
+(null if nothing in it has an id). Ids may be of any type with an order. Ties (equal vectors)
+are one node, and link with each other. An empty table gives no rows.
 Other columns are never read, and may have any name.
 """
 
@@ -129,18 +130,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def units_of(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, unit, row): a normalised vector for each id (null where it can link with nothing), its doubles as bytes, and a number."""
+    """(id, row, unit) of every row: its number and its vector at unit length, doubles as bytes (null where it can link with nothing)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 b = batch.slice(at, 2000)
                 units = [usable(x) for x in b.column("v").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([None if u is None else u.astype("<f8").tobytes() for u in units], pa.binary())], names=["id", "unit"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), pa.array([None if u is None else u.astype("<f8").tobytes() for u in units], pa.binary())], names=["id", "row", "unit"])
 
-    rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    schema = T.StructType([rows.schema["id"], T.StructField("unit", T.BinaryType())])
-    return rows.mapInArrow(run, schema).groupBy("id").agg(F.min("unit").alias("unit")).withColumn("row", F.monotonically_increasing_id())
+    rows = vectors.select(F.col(key).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(vector).cast("array<double>").alias("v"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("row", T.LongType()), T.StructField("unit", T.BinaryType())]))
 
 
 def linked(pairs: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
@@ -173,12 +173,26 @@ def block_links(frame: pd.DataFrame, p: Params) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
 
+def closed(members: DataFrame, label: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
+    """The components once all links inside cells are counted in: (node, component), given those by the cells' leaders."""
+    for turn in range(1, p.leader_rounds + 1):
+        pairs = written(open_buckets(members, label, turn).where("label <> lead.label").select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")).distinct(), "pairs")
+        if pairs.isEmpty():  # every cell is one component
+            return label
+        label = written(components(linked(pairs, nodes, p), known=label), "labels")
+    blocks = written(remaining_blocks(members, label, nodes.select("node", F.length("unit").cast("long").alias("bytes")), p), "remaining")
+    if blocks.isEmpty():
+        return label
+    last = blocks.join(nodes.select("node", "unit").hint("merge"), "node").groupBy("key", "x", "y").applyInPandas(lambda frame: block_links(frame, p), "a long, b long")
+    return written(components(last, known=label), "labels")
+
+
 def link_components(vectors: DataFrame, p: Params, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
     """(ids with their node, nodes with copies, vector and component)"""
     spark = vectors.sparkSession
     units = written(units_of(vectors, key, vector), "units")
     nodes = written(units.where("unit is not null").groupBy("unit").agg(F.min("row").alias("node"), F.count("*").alias("copies")), "nodes")
-    ids = units.join(nodes.select("unit", "node"), "unit", "left").select("id", "node")
+    ids = units.join(nodes.select("unit", "node"), "unit", "left").select("id", "row", "node")
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,16 +211,8 @@ def link_components(vectors: DataFrame, p: Params, key: str, vector: str) -> tup
     shared = entries.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
     members = written(entries.join(shared, "key"), "members")
     drop_scratch(spark, entries)
-    links = written(linked(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes, p), "links")
-    for turn in range(1, p.leader_rounds + 1):
-        label = written(components(links), "labels")
-        pairs = open_buckets(members, label, turn).where("label <> lead.label").select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")).distinct()
-        links = written(links.unionByName(linked(pairs, nodes, p)), "links")
-    label = written(components(links), "labels")
-    blocks = written(remaining_blocks(members, label, nodes.select("node", F.length("unit").cast("long").alias("bytes")), p), "remaining")
-    last = blocks.join(nodes.select("node", "unit").hint("merge"), "node").groupBy("key", "x", "y").applyInPandas(lambda frame: block_links(frame, p), "a long, b long")
-    links = written(links.unionByName(last.distinct()), "links")
-    label = written(components(links), "labels")
+    links = linked(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes, p)
+    label = closed(members, written(components(links), "labels"), nodes, p)
     drop_scratch(spark, members)
     placed = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return ids, written(placed, "placed")
@@ -247,14 +253,14 @@ def link_counts(placed: DataFrame, p: Params) -> DataFrame:
 
 
 def near_duplicates(vectors: DataFrame, p: Params = Params(), *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, n_links, component_id) for every different id."""
+    """(key, n_links, component_id) for every row."""
     ids, placed = link_components(vectors, p, key, vector)
-    counts = written(link_counts(placed, p), "link_counts")
-    known = written(ids.join(placed.select("node", "component").join(counts, "node"), "node", "left").select("id", "component", "n_links"), "known")
-    least = written(known.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id")), "least")
-    return known.join(least, "component", "left").select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    counts = placed.select("node", "component").join(link_counts(placed, p), "node")
+    known = written(ids.join(counts, "node", "left").select("id", "component", "n_links"), "known")
+    least = known.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
+    return known.join(least, "component", "left").select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op7_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
-    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return found.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

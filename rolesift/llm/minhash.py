@@ -23,7 +23,7 @@ for candidates only.
 
 Cases: null texts and texts without words link with nothing. Rows with one id are one
 document: each of its texts may link, and all of them share its class. Rows without an id
-link with nothing and stay. Ids may be of any type with an order; the least one names a
+link with nothing: they have no class, and stay when documents are dropped. Ids may be of any type with an order; the least one names a
 class. Ties (equal texts) are one node. An empty table gives no rows. Other columns are
 never read, and may have any name.
 """
@@ -292,22 +292,22 @@ def remaining_blocks(members: DataFrame, label: DataFrame, weight: DataFrame, p:
     return inner.unionByName(outer)
 
 
-def node_links(members: DataFrame, bags: DataFrame, p: Params) -> DataFrame:
-    """(a, b): verified links, enough of them to join all nodes that any chain of candidate links joins. members: (key, leader, node)."""
-    spark = members.sparkSession
-    links = written(verified(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), bags, p), "links")
+def node_components(members: DataFrame, bags: DataFrame, p: Params) -> DataFrame:
+    """(node, component) of the nodes that any chain of verified candidate links joins. members: (key, leader, node)."""
+    links = verified(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), bags, p)
+    label = written(components(links), "labels")
     for turn in range(1, p.leader_rounds + 1):
-        label = written(components(links), "labels")
         rows = open_buckets(members, label, turn).where("label <> lead.label")
-        pairs = rows.select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")).distinct()
-        links = written(links.unionByName(verified(pairs, bags, p)), "links")
-        drop_scratch(spark, label)
-    label = written(components(links), "labels")
+        pairs = written(rows.select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")).distinct(), "pairs")
+        if pairs.isEmpty():  # every bucket is one component
+            return label
+        label = written(components(verified(pairs, bags, p), known=label), "labels")
     weight = bags.select("node", (F.length("hashes") + F.length("counts")).cast("long").alias("bytes"))
     blocks = written(remaining_blocks(members, label, weight, p), "remaining")
-    schema = "a long, b long"
-    last = blocks.join(bags.hint("merge"), "node").groupBy("key", "x", "y").applyInPandas(lambda frame: block_links(frame, p), schema)
-    return written(links.unionByName(last.distinct()), "links")
+    if blocks.isEmpty():
+        return label
+    last = blocks.join(bags.hint("merge"), "node").groupBy("key", "x", "y").applyInPandas(lambda frame: block_links(frame, p), "a long, b long")
+    return written(components(last, known=label), "labels")
 
 
 def classes(docs: DataFrame, p: Params = Params(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -322,14 +322,15 @@ def classes(docs: DataFrame, p: Params = Params(), *, key: str = "doc_id", text:
     members = written(entries.join(shared, "key").select("key", "leader", "node"), "members")
     candidates = written(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "id", "h1", "h2"), "candidates")
     bags = written(bags_of(candidates, docs, p, key, text), "bags", "zstd")
-    links = node_links(members, bags, p)
+    label = node_components(members, bags, p)
     for gone in (members, shared, candidates, bags):
         drop_scratch(spark, gone)
     # Each id with its nodes; an id of several texts joins them.
     of = written(table.where("bands is not null").select("id", "h1", "h2").distinct().join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("id", "node"), "of")
     several = of.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("id", "a")
-    links = links.unionByName(of.join(several, "id").where("node <> a").select("a", F.col("node").alias("b")))
-    label = written(components(links), "labels")
+    several = written(of.join(several, "id").where("node <> a").select("a", F.col("node").alias("b")), "several")
+    if not several.isEmpty():
+        label = written(components(several, known=label), "labels")
     named = of.join(label, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
     least = written(named.groupBy("component").agg(F.min("id").alias("class_id")), "least")
     found = written(named.join(least, "component").groupBy("id").agg(F.min("class_id").alias("class_id")), "found")

@@ -281,7 +281,7 @@ def trie(convs: DataFrame, rows: DataFrame, p: Params = Params()) -> DataFrame:
     buckets = written(root.select("top", zero.alias("at"), no_id.alias("parent"), "convs", "seqs", zero.alias("words"), "ends"), "buckets")
     least = seqs.agg(F.min("seq")).first()[0]
     active = written(active.withColumns({"top": F.lit(least).cast("long"), "at": zero}), "active")
-    rounds, done = [], []
+    rounds, done, files = [], [], active
     while not buckets.isEmpty():
         # Depths at which all sequences of the bucket still agree, and the one (`cut`) at which they part or one has ended.
         depths = active.groupBy("top", "at", "d").agg(F.min("tid").alias("low"), F.max("tid").alias("high"), F.count("*").alias("m"), F.max("words").alias("w"), F.max(F.when(F.col("len") == F.col("d"), F.col("seq"))).alias("e"))
@@ -295,11 +295,12 @@ def trie(convs: DataFrame, rows: DataFrame, p: Params = Params()) -> DataFrame:
         kids = written(kids.withColumn("fate", fate), "kids")
         own = placed.where("d = cut").join(kids.select("top", "at", "tid", "kid", "fate"), ["top", "at", "tid"]).select("seq", F.col("top").alias("parent"), F.col("cut").alias("next"), "kid", "fate")
         moved = written(placed.where("d >= cut").join(own, "seq").select("parent", F.col("next").alias("at"), F.col("kid").alias("top"), "fate", "seq", "n", "len", "d", "tid", "words"), "moved")
-        drop_scratch(spark, active)
+        drop_scratch(spark, files)
         done.append(written(finished(moved.where("fate = 'local'"), p), "nodes"))
         done.append(written(chains(moved.where("fate = 'chain'")), "chain_nodes"))
         rounds.append((buckets, depths, cuts, kids))
         buckets = kids.where("fate = 'cut'").select(F.col("kid").alias("top"), F.col("cut").alias("at"), F.col("top").alias("parent"), "convs", "seqs", "words", "ends")
+        files = moved
         active = moved.where("fate = 'cut' and d > at").select("seq", "d", "tid", "words", "n", "len", "top", "at")
 
     # Upwards: a cut bucket's branch has its kids' sums, and the nodes of its common prefix add their own.

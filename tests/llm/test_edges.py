@@ -117,3 +117,42 @@ def test_decoding_gives_the_bytes_back(docs):
     ranks, pattern = bpe.default_ranks()
     coded = bpe.encode(docs, ranks, pattern, keep=["text", "doc_id"]).drop("decoded")
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in bpe.decode(coded, ranks, pattern).collect())
+
+
+def test_every_vector_row_keeps_its_links(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (None, [0.01, 1.0]), (None, [-1.0, 0.0]), (3, None), (3, [2.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted((r.vec_id or 0, r.n_links, r.component_id) for r in lattice.near_duplicates(frame).collect() if r.vec_id or r.component_id)
+    assert found == [(0, 1, 1), (1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (3, 2, 1)]
+    assert lattice.near_duplicates(frame).count() == len(rows)
+
+
+@pytest.mark.parametrize("local", [0, 1000])
+def test_components_by_rounds_and_contracted(spark, local):
+    import random
+
+    from rolesift.llm.common import written
+    from rolesift.llm.components import components
+
+    r = random.Random(4)
+    links = [(r.randint(0, 400), r.randint(0, 400)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(12)] + [(2000, x) for x in range(2001, 2040)] + [(5, 5), (None, 3)]
+    more = [(0, 2000), (3000, 3001), (3001, 1004), (7, None)]
+
+    def plain(pairs):
+        label = {}
+        for x, y in pairs:
+            if x is not None and y is not None and x != y:
+                label.setdefault(x, x), label.setdefault(y, y)
+        for _ in range(500):
+            before = dict(label)
+            for x, y in pairs:
+                if x in label and y in label:
+                    label[x] = label[y] = min(label[x], label[y])
+            if before == label:
+                return label
+
+    frame = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    first = written(components(frame(links), local=local), "first")
+    assert {(x.node, x.component) for x in first.collect()} == set(plain(links).items())
+    both = components(frame(more), known=first, local=local).collect()
+    assert len(both) == len(set(both)) and {(x.node, x.component) for x in both} == set(plain([x for x in links if x != (5, 5)] + more).items())
