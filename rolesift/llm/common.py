@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,6 +86,29 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, chars: int = 4_00
         yield batch.slice(start)
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int = 20_000, size: int = 16_000_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(table, starts): rows sorted by `keys` in tables of whole groups, with the places at which a group begins. A table has about `rows` rows or `size` bytes, and its last group besides: many small groups cost one step."""
+
+    def starts(table: pa.Table) -> np.ndarray:
+        columns = [table.column(k).to_numpy() for k in keys]
+        return np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.num_rows for x in held) < rows and sum(x.nbytes for x in held) < size:
+            continue
+        table = pa.Table.from_batches(held)
+        found = starts(table)
+        if len(found) > 1:
+            yield table.slice(0, int(found[-1])), found[:-1]
+            held = table.slice(int(found[-1])).to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, starts(table)
+
+
 def crc_mod(column: str | Column, modulus: int) -> Column:
     """crc32 of the value written as text, modulo `modulus`: the fold of a row. A null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -27,13 +27,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolesift.llm.common import drop_scratch, written
+from rolesift.llm.common import drop_scratch, whole_groups, written
 from rolesift.llm.components import components
 from rolesift.llm.minhash import mix, open_buckets, remaining_blocks
 
@@ -158,19 +157,28 @@ def linked(pairs: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
     return pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "ua", "ub").mapInArrow(run, "a long, b long")
 
 
-def block_links(frame: pd.DataFrame, p: Params) -> pd.DataFrame:
-    """The links between the outer nodes of a block and the others of different components."""
-    out = []
-    for _, part in frame.groupby(frame["unit"].map(len)):
-        outer, inner = part[part["outer"]].drop_duplicates("node"), part[part["inner"]].drop_duplicates("node")
-        if not len(outer) or not len(inner):
-            continue
-        x, y = (np.stack([np.frombuffer(u, "<f8") for u in side["unit"]]) for side in (outer, inner))
-        near = (x @ y.T >= p.cosine) & (outer["label"].to_numpy()[:, None] != inner["label"].to_numpy()[None, :])
-        i, j = np.nonzero(near)
-        a, b = outer["node"].to_numpy()[i], inner["node"].to_numpy()[j]
-        out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}))
-    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+def block_links(blocks: DataFrame, p: Params) -> DataFrame:
+    """(a, b): the links of each block (key, x, y) between its outer nodes and the others of different components. Blocks of one cell or many are compared one after the other in a task."""
+    keys = ["key", "x", "y", "size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, keys):
+            node, label, outer = (table.column(c).to_numpy() for c in ("node", "label", "outer"))
+            units = table.column("unit").to_pylist()
+            links = []
+            for at, end in zip(starts, [*starts[1:], len(node)], strict=True):
+                own = np.arange(at, end)
+                x, y = own[outer[at:end]], own[~outer[at:end]]
+                if len(x) and len(y):
+                    u, v = (np.frombuffer(b"".join([units[i] for i in side]), "<f8").reshape(len(side), -1) for side in (x, y))
+                    i, j = np.nonzero((u @ v.T >= p.cosine) & (label[x][:, None] != label[y][None, :]))
+                    if len(i):
+                        links.append(np.stack([node[x[i]], node[y[j]]], axis=1))
+            pairs = np.concatenate(links) if links else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1, initial=2**62)), pa.array(pairs.max(axis=1, initial=-(2**62)))], names=["a", "b"])
+
+    rows = blocks.withColumn("size", F.length("unit"))
+    return rows.select(*keys, "node", "label", "outer", "unit").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def closed(members: DataFrame, label: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
@@ -183,7 +191,7 @@ def closed(members: DataFrame, label: DataFrame, nodes: DataFrame, p: Params) ->
     blocks = written(remaining_blocks(members, label, nodes.select("node", F.length("unit").cast("long").alias("bytes")), p), "remaining")
     if blocks.isEmpty():
         return label
-    last = blocks.join(nodes.select("node", "unit").hint("merge"), "node").groupBy("key", "x", "y").applyInPandas(lambda frame: block_links(frame, p), "a long, b long")
+    last = block_links(blocks.join(nodes.select("node", "unit").hint("merge"), "node"), p)
     return written(components(last, known=label), "labels")
 
 
@@ -230,25 +238,28 @@ def link_counts(placed: DataFrame, p: Params) -> DataFrame:
     many = rows.where("n > 1").withColumn("blocks", F.ceil(F.col("n") / p.block)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = many.select("component", "node", "copies", "unit", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).select("component", "node", "copies", "unit", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        x = frame["x"].iloc[0]
-        size = frame["unit"].map(len)
-        out = []
-        for _, part in frame.groupby(size):
-            units = np.stack([np.frombuffer(u, "<f8") for u in part["unit"]])
-            copies, node = part["copies"].to_numpy(np.int64), part["node"].to_numpy()
-            near = units @ units.T >= p.cosine
-            np.fill_diagonal(near, False)
-            if x != frame["y"].iloc[0]:  # pairs within a block are counted in that block's own group
-                side = part["block"].to_numpy() == x
-                near &= side[:, None] != side[None, :]
+    keys = ["component", "x", "y", "size"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, keys):
+            x, y, block, copies, node = (table.column(c).to_numpy() for c in ("x", "y", "block", "copies", "node"))
+            units = table.column("unit").to_pylist()
+            links = np.zeros(len(node), np.int64)
+            for at, end in zip(starts, [*starts[1:], len(node)], strict=True):
+                u = np.frombuffer(b"".join(units[at:end]), "<f8").reshape(end - at, -1)
+                near = u @ u.T >= p.cosine
+                np.fill_diagonal(near, False)
                 own = 0
-            else:
-                own = copies - 1
-            out.append(pd.DataFrame({"node": node, "links": near @ copies + own}))
-        return pd.concat(out)
-
-    counted = dealt.groupBy("component", "x", "y").applyInPandas(compare, "node long, links long").groupBy("node").agg(F.sum("links").alias("n_links"))
+                if x[at] != y[at]:  # pairs within a block are counted in that block's own group
+                    side = block[at:end] == x[at]
+                    near &= side[:, None] != side[None, :]
+                else:
+                    own = copies[at:end] - 1
+                links[at:end] = near @ copies[at:end] + own
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(links)], names=["node", "links"])
+
+    sized_rows = dealt.withColumn("size", F.length("unit")).select(*keys, "block", "copies", "node", "unit").repartition(*keys).sortWithinPartitions(*keys)
+    counted = sized_rows.mapInArrow(compare, "node long, links long").groupBy("node").agg(F.sum("links").alias("n_links"))
     return alone.unionByName(counted)
 
 
