@@ -64,7 +64,7 @@ def _jobs(rows: DataFrame, schema: str) -> DataFrame:
 def _posting(rows: DataFrame, ats: str, made: dict[str, Column], *, stated: Column | None = None, flag: Column | None = None, own_pay: tuple[Column, Column] | None = None, pay_texts: tuple[str, ...] = ("description",), remote: Column | None = None, address_: dict[str, Column] | None = None, sure: Column | None = None) -> DataFrame:
     """The canonical row, with what every feed derives alike: place, work model, pay, mentions, date."""
     out = rows.select("company", "slug", *(c.alias(n) for n, c in made.items()), (sure if sure is not None else F.lit(True)).alias("sure"), (stated if stated is not None else F.lit(None).cast("string")).alias("stated"), (flag if flag is not None else F.lit(None).cast("boolean")).alias("flag"), *(c.alias(n) for c, n in zip(own_pay or (F.lit(None).cast("int"),) * 2, ("own_low", "own_high"), strict=True)), (remote if remote is not None else F.lit(None).cast("boolean")).alias("remote_flag"), *(c.alias(f"own_{n}") for n, c in (address_ or {}).items()))
-    out = out.withColumn("place", location.location("location_raw")).withColumn("model", work.work_model(F.col("stated"), F.col("flag"), F.col("location_raw"), F.col("description")))
+    out = location.with_place(out, "location_raw").withColumn("model", work.work_model(F.col("stated"), F.col("flag"), F.col("location_raw"), F.col("description")))
     for i, c in enumerate(pay_texts):
         out = out.withColumn(f"pay{i}", pay.pay_range(c))
     found = F.coalesce(*(F.when(F.col(f"pay{i}.low").isNotNull(), F.col(f"pay{i}")) for i in range(len(pay_texts))))
@@ -143,12 +143,19 @@ def lever(rows: DataFrame) -> DataFrame:
     return _posting(jobs, "lever", made, stated=F.col("workplaceType"), own_pay=(F.col("salaryRange.min").cast("int"), F.col("salaryRange.max").cast("int")))
 
 
+def _last_landed(details: DataFrame) -> DataFrame:
+    """(d_slug, d_id, payload): of details that landed more than once the last one, by landed_at where the input has it; ties go to the greater payload."""
+    at = F.col("landed_at") if "landed_at" in details.columns else F.lit(None).cast("timestamp")
+    last = F.max(F.struct(at.alias("at"), "payload"))["payload"]
+    return details.groupBy(F.col("slug").alias("d_slug"), F.col("posting_id").alias("d_id")).agg(last.alias("payload"))
+
+
 def smartrecruiters(rows: DataFrame, details: DataFrame) -> DataFrame:
     """Lists hold summaries; details (slug, posting_id, payload) are joined by id. A job without detail has no description."""
     jobs = _jobs(rows, "content: array<struct<id: string, name: string, releasedDate: string, createdOn: string, location: struct<city: string, region: string, country: string, remote: boolean>, department: struct<label: string>, `function`: struct<label: string>, typeOfEmployment: struct<label: string>>>")
     part = "struct<text: string>"
     parsed = F.from_json("payload", f"struct<applyUrl: string, jobAd: struct<sections: struct<companyDescription: {part}, jobDescription: {part}, qualifications: {part}, additionalInformation: {part}>>>")
-    told = details.select(F.col("slug").alias("d_slug"), F.col("posting_id").alias("d_id"), parsed.alias("d")).dropDuplicates(["d_slug", "d_id"])
+    told = _last_landed(details).withColumn("d", parsed).drop("payload")
     jobs = jobs.join(told, (F.col("slug") == F.col("d_slug")) & (F.col("id") == F.col("d_id")), "left")
     sections = [text.html_text(f"d.jobAd.sections.{x}.text") for x in ("companyDescription", "jobDescription", "qualifications", "additionalInformation")]
     places = F.array_join(F.filter(F.array("location.city", "location.region", "location.country"), lambda x: F.coalesce(x, F.lit("")) != ""), ", ")
@@ -206,7 +213,7 @@ def eightfold_address(slug: Column | str, feed: str = "eightfold", **more: Colum
 
 def _with_details(jobs: DataFrame, details: DataFrame, key: str, schema: str) -> DataFrame:
     """The jobs with a struct d from details (slug, posting_id, payload), one row a job."""
-    told = details.select(F.col("slug").alias("d_slug"), F.col("posting_id").alias("d_id"), F.from_json("payload", schema).alias("d")).dropDuplicates(["d_slug", "d_id"])
+    told = _last_landed(details).withColumn("d", F.from_json("payload", schema)).drop("payload")
     return jobs.join(told, (F.col("slug") == F.col("d_slug")) & (F.col(key) == F.col("d_id")), "left")
 
 

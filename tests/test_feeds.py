@@ -3,7 +3,7 @@
 import json
 from datetime import datetime
 
-import pytest
+from pyspark.sql import functions as F
 
 from rolesift.functions import location, text
 from rolesift.sources import feeds
@@ -16,15 +16,18 @@ PLACES = [
 ]
 
 
-@pytest.mark.parametrize("written, want", PLACES)
-def test_places(written, want):
-    assert location.place(written) == want
+def test_places(spark):
+    rows = spark.createDataFrame([(i, written) for i, (written, _) in enumerate(PLACES)], "i int, written string")
+    got = {r.i: tuple(r.place) for r in location.with_place(rows, "written").collect()}
+    assert [(PLACES[i], got[i]) for i in sorted(got) if got[i] != PLACES[i][1]] == []
 
 
-def test_based():
+def test_based(spark):
     body = "This role may travel to hub cities including Dallas; however will be based out of Elm or Oak. We visit offices located in Rome as needed. Reporting to our Ash office."
-    assert [x.strip() for x in location.based(body)] == ["will be based out of Elm or Oak", "Reporting to our Ash office"]
-    assert location.based(None) == []
+    rows = spark.createDataFrame([(1, body), (2, None)], "i int, body string")
+    got = {r.i: r.c for r in rows.select("i", location.based_at("body").alias("c")).collect()}
+    assert [x.strip() for x in got[1]] == ["will be based out of Elm or Oak", "Reporting to our Ash office"]
+    assert got[2] == []
 
 
 def test_scalars(spark):
@@ -32,7 +35,7 @@ def test_scalars(spark):
     got = rows.select(text.company_name("c").alias("name"), text.company_key("c").alias("key"), text.title_name("t").alias("title"), text.html_text("m").alias("plain"), text.cleaned("c").alias("clean")).collect()
     assert tuple(got[0]) == ("acme", "acmelabs", "engineer", "A <b>\n one\ntwo - three\n —", "Acme Labs, Inc.")
     assert tuple(got[1]) == ("", "", "", "", "") and tuple(got[2])[:3] == ("", "", "")
-    assert text.repaired("100â€“200") == "100–200"
+    assert rows.select(text.repaired(F.lit("100â€“200")).alias("t")).first().t == "100–200"
 
 
 def test_clone_keys(spark):

@@ -74,3 +74,19 @@ def test_work_model(spark):
     rows = spark.createDataFrame([(i, *r) for i, (r, _) in enumerate(WORK)], "i int, s string, f boolean, l string, b string")
     got = {r.i: r.w for r in rows.select("i", work.work_model(F.col("s"), F.col("f"), F.col("l"), F.col("b")).alias("w")).collect()}
     assert [(WORK[i], got[i]) for i in sorted(got) if WORK[i][1] != got[i]] == []
+
+
+NAMES = {
+    "Restricted stock for all": (True, False), "share options": (True, False), "an ownership stake": (True, False), "RSUs": (True, False), "We are equitable": (False, False),
+    "variable compensation": (False, True), "incentive compensation": (False, True), "Commission": (False, True), "a bonus": (False, True), "bonuses": (False, False), "Stock options and bonus": (True, True), "": (False, False), None: (False, False),
+}
+RATES = {"15% annual bonus": 0.15, "a bonus target of up to 12.5%": 0.125, "20% target performance bonus": 0.2, "bonus": None, "10% off": None, None: None}
+
+
+def test_equity_bonus_and_rates(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(NAMES)], "i int, t string")
+    got = {r.i: (r.e, r.b) for r in rows.select("i", pay.names_equity("t").alias("e"), pay.names_bonus("t").alias("b")).collect()}
+    assert {t: got[i] for i, t in enumerate(NAMES)} == NAMES
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(RATES)], "i int, t string")
+    got = {r.i: r.r for r in rows.select("i", pay.stated_bonus("t").alias("r")).collect()}
+    assert {t: got[i] for i, t in enumerate(RATES)} == RATES
