@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolesift.llm.common import free_name, slices, texts
+from rolesift.llm.common import free_name, kept_in_worker, slices, texts
 
 #: Pieces before an edit that are cut anew: a contraction (x ' l l) spans three.
 RECUT = 4
@@ -313,16 +313,9 @@ class TextEncoder:
         return self.many([text])[0]
 
 
-#: One encoder a worker process, kept from task to task.
-_encoders: dict[tuple[int, str], TextEncoder] = {}
-
-
 def worker_encoder(rank_file: bytes, pattern: str) -> TextEncoder:
-    key = (hash(rank_file), pattern)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = TextEncoder(Vocabulary(rank_file, pattern))
-    return _encoders[key]
+    """One encoder a worker process, kept from task to task."""
+    return kept_in_worker(("bpe", hash(rank_file), pattern), lambda: TextEncoder(Vocabulary(rank_file, pattern)))
 
 
 def read_ranks(path: str) -> bytes:

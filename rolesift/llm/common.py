@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import itertools
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share. Only in local mode one is made where it is unset; elsewhere that is an error."""
@@ -109,6 +113,25 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int =
         yield table, starts(table)
 
 
+#: The one large thing that a worker process keeps from task to task, by its name.
+_kept: dict = {}
+
+
+def kept_in_worker(name: tuple, make: Callable[[], T]) -> T:
+    """What `make` returns, made once for all tasks of a worker that follow each other; something else takes its place."""
+    if name not in _kept:
+        forget_in_worker()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def forget_in_worker() -> None:
+    """Gives up what another operator kept: Spark uses workers again, and two operators' tables need not fit one."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+
+
 def crc_mod(column: str | Column, modulus: int) -> Column:
     """crc32 of the value written as text, modulo `modulus`: the fold of a row. A null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"), F.lit("")).cast("binary")) % modulus

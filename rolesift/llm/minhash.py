@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolesift.llm.common import drop_scratch, free_name, sized, slices, texts, written
+from rolesift.llm.common import drop_scratch, forget_in_worker, free_name, sized, slices, texts, written
 from rolesift.llm.components import components
 
 
@@ -172,6 +172,7 @@ def signed(docs: DataFrame, p: Params, key: str, text: str) -> DataFrame:
     """(row, id, h1, h2, bands) of rows with an id: a number for the row, the hash of a text's words in order, and its band keys (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_in_worker()
         at = TaskContext.get().partitionId() << 33
         for part in slices(batches, rows=256, chars=1_000_000, text="__text"):
             rows = texts(part, "__text")

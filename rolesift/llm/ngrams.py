@@ -10,6 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rolesift.llm.common import forget_in_worker
+
 #: Characters of a text that are hashed at once; longer texts go block by block.
 BLOCK = 1 << 20
 #: Entries of a summed vector in one row.
@@ -47,6 +49,7 @@ class Distinct:
     """Distinct buckets of a text in linear time, with one array for all texts of a worker."""
 
     def __init__(self, buckets: int):
+        forget_in_worker()
         self.place = np.zeros(buckets, np.int32)
         self.stamp = 0
 
