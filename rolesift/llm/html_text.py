@@ -7,7 +7,7 @@ article container, where most of a line is link text. Text lengths are summed ov
 sliding windows of lines. The sum surges where text sets in after empty lines, and dives
 where it goes back to nothing; the text between is kept. Inside an article container
 every such stretch is kept; elsewhere those whose windows reach a quarter of the page's
-fullest window.
+fullest window or that hold a sentence (a line that ends like one).
 
 Character references are decoded, white space inside a block becomes one space, blocks
 are trimmed and joined in page order by an empty line. Nothing is dropped or cut for its
@@ -47,11 +47,15 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search fo
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre em strong b i span code figure figcaption dt dd".split())
 #: Words of class and id that mark boilerplate anywhere.
 DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices sidebar nav navbar navigation menu menubar breadcrumb breadcrumbs topbar masthead footer comment comments commentlist disqus reply replies respond related recommended recommendations share sharing social newsletter subscribe signup login popup modal overlay form search widget widgets toolbar pagination pager copyright paywall".split())
+#: Words that may stand beside those in one name: "comment-list" is boilerplate, "related-work" is not.
+BESIDE_WORDS = frozenset("area bar block body bottom box btn button buttons col column container foot group head heading holder icon icons inner item items left link links list main module outer page panel policy post posts article articles story stories right row section site slot text title top unit wrap wrapper".split())
 CONTAINER_WORDS = frozenset(("article", "content", "maincontent", "main", "post", "entry", "story"))
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)|</[^>]*(?:>|\Z)", re.S)
 STOP = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-WORD = re.compile(r"[a-z0-9]+")
+WORD = re.compile(r"[a-z]+")
+#: A line that ends like a sentence; notices of rights are none.
+SENTENCE = re.compile(r"(?!©|\(c\)|copyright\b).*[.!?…。！？][\"'”’»)\]]*\Z", re.S | re.I)
 
 
 @dataclass(frozen=True)
@@ -87,6 +91,11 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
+def boilerplate_words(named: str) -> set[str]:
+    """Words of the names that consist of words of boilerplate and words that go beside them."""
+    return {w for n in named.split() if (parts := set(WORD.findall(n))) and parts <= DROPPED_WORDS | BESIDE_WORDS | {"header"} for w in parts}
+
+
 def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     """(text, characters of it in links, inside a container) of each line, boilerplate as empty lines; whether there is a container."""
     lines: list[tuple[str, int, bool]] = []
@@ -175,13 +184,13 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                     break
         values = _attributes(attributes)
         named = f"{values.get('class', '')} {values.get('id', '')}".lower()
-        # Of an element that carries text by itself, a whole class or id must say so: "form-factor" is no form.
-        words = set(named.split() if name in TEXTUAL else WORD.findall(named))
+        # A whole class or id must say so, word by word: "form-factor" is no form. Of an element that carries text by itself it must be one word.
+        words = set(named.split()) if name in TEXTUAL else boilerplate_words(named)
         role = values.get("role", "").lower()
         plain = name in ("html", "body")
         drop = name in DROPPED or role in DROPPED_ROLES or "hidden" in values or values.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", ""), re.I) is not None
         drop = drop or not plain and bool(words & DROPPED_WORDS) or name == "header" and not inner or "header" in words and not inner and name not in ("article", "main")
-        container = not drop and not plain and not dropped and (name in ("article", "main") or role in ("main", "article") or values.get("itemprop", "") == "articleBody" or name in ("div", "section", "td") and bool(words & CONTAINER_WORDS))
+        container = not drop and not plain and not dropped and (name in ("article", "main") or role in ("main", "article") or values.get("itemprop", "") == "articleBody" or name in ("div", "section", "td") and bool(set(WORD.findall(named)) & CONTAINER_WORDS))
         if drop:
             if not dropped:
                 if name in BLOCKS or text:
@@ -205,8 +214,8 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     return lines, any_container
 
 
-def stretches(sizes: list[int], p: Params, *, share: float, least: int) -> Iterator[tuple[int, int]]:
-    """Line ranges between a surge and the next dive of the windowed text lengths, where the fullest window is full enough."""
+def stretches(sizes: list[int], p: Params, *, share: float, least: int, sure: frozenset[int] = frozenset()) -> Iterator[tuple[int, int]]:
+    """Line ranges between a surge and the next dive of the windowed text lengths, where the fullest window is full enough or a line is sure to be text."""
     found, start = [], None
     for i, n in enumerate([*sizes, 0]):
         if n and start is None:
@@ -217,7 +226,7 @@ def stretches(sizes: list[int], p: Params, *, share: float, least: int) -> Itera
             start = None
     best = max((x[2] for x in found), default=0)
     for a, b, peak in found:
-        if peak >= share * best and best >= least:
+        if peak >= share * best and best >= least or not sure.isdisjoint(range(a, b)):
             yield a, b
 
 
@@ -231,7 +240,9 @@ def main_text(page: str | None, p: Params = Params()) -> str:
         kept = stretches(sizes, p, share=0.0, least=0)
     else:
         sizes = [0 if links > p.link_share * len(t) else len(t) for t, links, _ in lines]
-        kept = stretches(sizes, p, share=p.share, least=p.least)
+        # A short paragraph, cut off from the rest by boilerplate, is text all the same.
+        sure = frozenset(i for i, (t, _, _) in enumerate(lines) if sizes[i] and SENTENCE.match(t))
+        kept = stretches(sizes, p, share=p.share, least=p.least, sure=sure)
     return "\n\n".join(lines[i][0] for a, b in kept for i in range(a, b))
 
 

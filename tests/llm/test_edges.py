@@ -156,3 +156,11 @@ def test_components_by_rounds_and_contracted(spark, local):
     assert {(x.node, x.component) for x in first.collect()} == set(plain(links).items())
     both = components(frame(more), known=first, local=local).collect()
     assert len(both) == len(set(both)) and {(x.node, x.component) for x in both} == set(plain([x for x in links if x != (5, 5)] + more).items())
+
+
+def test_main_text_keeps_short_paragraphs_and_compound_names():
+    page = '<article><p>One.</p><div class="related-work"><p>Two.</p></div><div class="form-factor">Three</div><section id="search-algorithms">Four</section><div class="comment-list">no</div><div class="share-buttons">no</div></article>'
+    assert html_text.main_text(page) == "One.\n\nTwo.\n\nThree\n\nFour"
+    body = "Long text stands here. " * 40
+    page = f'<body><p>{body}</p><ul class="menu"><li>Home</li></ul><p>Short closing.</p><ul class="menu"><li>Top</li></ul><p>© 2024 The Paper.</p><div class="site-footer">Imprint.</div></body>'
+    assert html_text.main_text(page) == f"{body.strip()}\n\nShort closing."
