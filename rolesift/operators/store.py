@@ -8,8 +8,7 @@ Logs (columns beside their own):
 - runs: run_id, seq, mode, counts. rules: rule_id, rule, active. backlog: company, display, seq, at, kind.
 
 seq orders a key's events; a later one wins. Every view is one aggregation by key with
-partial sums before the shuffle, except states, whose guards need a key's events in order:
-those are a few strings a posting.
+partial sums before the shuffle.
 """
 
 from __future__ import annotations
@@ -46,30 +45,97 @@ def posting_id(ats: Column | str, slug: Column | str, source_id: Column | str) -
     return F.xxhash64(*(F.col(c) if isinstance(c, str) else c for c in (ats, slug, source_id)))
 
 
-def current(log: DataFrame, key: str = "posting_id") -> DataFrame:
-    """Each key's latest fields with first_seen, last_seen and times_seen: insert or refresh."""
-    fields = [c for c in log.columns if c not in (key, "seq", "seen_at")]
-    out = log.groupBy(key).agg(F.max_by(F.struct(*fields), "seq").alias("r"), F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"), F.count("*").alias("times_seen"))
-    return out.select(key, "r.*", "first_seen", "last_seen", "times_seen")
+def _sightings(log: DataFrame) -> DataFrame:
+    """A log's rows as views of one event each."""
+    return log.withColumnsRenamed({"seen_at": "first_seen"}).withColumns({"last_seen": F.col("first_seen"), "times_seen": F.lit(1).cast("long")})
 
 
-def folded_state(events: Column) -> Column:
-    """The state after the events (an array of structs seq, state) in order.
+def _merged(views: DataFrame, key: str) -> DataFrame:
+    """Views of the same keys made one: the latest fields, the ends of the time, the sum of the sightings."""
+    fields = [c for c in views.columns if c not in (key, "seq", "first_seen", "last_seen", "times_seen")]
+    out = views.groupBy(key).agg(F.max_by(F.struct(*fields), "seq").alias("r"), F.max("seq").alias("seq"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("times_seen").alias("times_seen"))
+    return out.select(key, "seq", "r.*", "first_seen", "last_seen", "times_seen")
 
-    A score never takes a shown posting back, and a reject counts for postings that are not
-    yet scored only; anything else sets the state.
+
+def view(log: DataFrame, key: str = "posting_id") -> DataFrame:
+    """The present with the seq of each key's last event, to be merged with later events."""
+    return _merged(_sightings(log), key)
+
+
+def current(log: DataFrame, key: str = "posting_id", known: DataFrame | None = None) -> DataFrame:
+    """Each key's latest fields with first_seen, last_seen and times_seen: insert or refresh. `known` is an earlier view with its seq; the log then has later events only."""
+    rows = _sightings(log)
+    return _merged(rows if known is None else known.unionByName(rows), key).drop("seq")
+
+
+def _snapshot(spark: SparkSession, root: str, log: str) -> tuple[int, str] | None:
+    """(last seq, path) of the newest finished snapshot of a log. One that was cut off has no mark of success and doesn't count."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/_snapshots/{log}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in files.listStatus(path)] if files.exists(path) else []
+    done = [(int(x.getName()), x.toString()) for x in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    return max(done, default=None)
+
+
+def _known_and_tail(spark: SparkSession, root: str, log: str, schema: str | StructType) -> tuple[DataFrame | None, DataFrame]:
+    last, rows = _snapshot(spark, root, log), read_log(spark, root, log, schema)
+    return (None, rows) if last is None else (spark.read.parquet(last[1]), rows.where(F.col("seq") > last[0]))
+
+
+def snapshot(spark: SparkSession, root: str, log: str, schema: str | StructType, key: str = "posting_id") -> None:
+    """Writes the view of a log up to its last event, from the snapshot before and the events since. seq grows over all appends of the log.
+
+    Readers see it when all of it is there; the log stays, and a snapshot that is cut off can be written again.
     """
+    known, tail = _known_and_tail(spark, root, log, schema)
+    last = tail.agg(F.max("seq")).first()[0]
+    if last is not None:
+        rows = _sightings(tail)
+        _merged(rows if known is None else known.unionByName(rows), key).write.mode("overwrite").parquet(f"{root.rstrip('/')}/_snapshots/{log}/{last}")
+
+
+def current_of(spark: SparkSession, root: str, log: str, schema: str | StructType, key: str = "posting_id") -> DataFrame:
+    """The present of a log: its newest snapshot and the events since; only these are read from the log."""
+    known, tail = _known_and_tail(spark, root, log, schema)
+    return current(tail, key, known)
+
+
+# ---- saved and live texts
 
-    def step(state: Column, e: Column) -> Column:
-        held = (e["state"] == EVALUATED) & state.isin(*SUPPRESSED) | (e["state"] == REJECTED) & ~state.isin(NEW, PREFILTERED, REJECTED)
-        return F.when(held, state).otherwise(e["state"])
+UPDATED, SAME, TAKEN_DOWN, UNSAVED = "UPDATED", "same as saved", "TAKEN DOWN", "not saved"
 
-    return F.aggregate(F.array_sort(events), F.lit(NEW), step)
+
+def live_status(saved: DataFrame, live: DataFrame, key: str = "posting_id", body: str = "description") -> DataFrame:
+    """(key, status) of every key of either side, one row a key each: by digests of the trimmed texts, so that no text is shuffled. An empty live text is none."""
+    digest = lambda c: F.sha2(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), 256)
+    here = saved.select(key, digest(F.coalesce(body, F.lit(""))).alias("a"))
+    there = live.where(F.col(body) != "").select(key, digest(F.col(body)).alias("b"))
+    status = F.when(F.col("b").isNull(), TAKEN_DOWN).when(F.col("a").isNull(), UNSAVED).when(F.col("a") == F.col("b"), SAME).otherwise(UPDATED)
+    return here.join(there, key, "full").select(key, status.alias("status"))
+
+
+def refreshed(saved: DataFrame, live: DataFrame, key: str = "posting_id", body: str = "description") -> DataFrame:
+    """The saved rows with status, is_live, and the live text where it is another; what is taken down keeps its saved text."""
+    status = live_status(saved, live, key, body).where(F.col("status") != UNSAVED)
+    fresh = live.join(status.where(F.col("status") == UPDATED), key, "left_semi").select(key, F.col(body).alias("__fresh"))
+    out = saved.join(status, key, "left").join(fresh, key, "left")
+    return out.withColumns({body: F.coalesce("__fresh", body), "is_live": F.col("status") != TAKEN_DOWN}).drop("__fresh")
 
 
 def states(log: DataFrame, key: str = "posting_id") -> DataFrame:
-    """(key, state) of every key with an event."""
-    return log.groupBy(key).agg(F.collect_list(F.struct("seq", "state")).alias("e")).select(key, folded_state(F.col("e")).alias("state"))
+    """(key, state) of every key with an event.
+
+    A score never takes a shown posting back, and a reject counts for postings that are not
+    yet scored only; anything else sets the state. So the last setting event tells, and
+    whether a score or else a reject came after it.
+    """
+    kind = F.col("state")
+    at = lambda which: F.max(F.when(which, F.col("seq")))
+    setting = ~kind.isin(EVALUATED, REJECTED)
+    last = log.groupBy(key).agg(F.max_by(F.when(setting, kind), F.when(setting, F.col("seq"))).alias("s"), at(setting).alias("at"), at(kind == EVALUATED).alias("scored"), at(kind == REJECTED).alias("refused"))
+    after = lambda c: F.coalesce(F.col(c) > F.col("at"), F.col("at").isNull() & F.col(c).isNotNull())
+    state = F.when(F.col("s").isin(*SUPPRESSED), F.col("s")).when(after("scored"), EVALUATED).when(after("refused"), REJECTED).otherwise(F.coalesce("s", F.lit(NEW)))
+    return last.select(key, state.alias("state"))
 
 
 def latest_value(log: DataFrame, value: str, key: str = "posting_id", order: str = "seq") -> DataFrame:
@@ -97,8 +163,9 @@ def backlog(log: DataFrame) -> DataFrame:
     company's last clearing are gone. The first event makes the row, seen once; a later
     sighting counts one more, a try one attempt.
     """
-    w = Window.partitionBy("company")
-    rows = log.where("company is not null and company <> ''").withColumn("gone", F.max(F.when(F.col("kind") == "cleared", F.col("seq"))).over(w)).where("kind <> 'cleared' and (gone is null or seq > gone)")
+    told = log.where("company is not null and company <> ''")
+    gone = told.where("kind = 'cleared'").groupBy("company").agg(F.max("seq").alias("gone"))
+    rows = told.where("kind <> 'cleared'").join(gone, "company", "left").where("gone is null or seq > gone")
     tried_first = F.when(F.min_by("kind", "seq") == "tried", 1).otherwise(0)
     return rows.groupBy("company").agg(F.min_by("display", "seq").alias("display"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen"), (F.count_if(F.col("kind") == "seen") + tried_first).alias("times_seen"), F.count_if(F.col("kind") == "tried").alias("attempts"))
 
@@ -211,18 +278,58 @@ def rubric_score(scores: Column, notes: Column, weights: dict[str, float], *, ev
 def prefix_matches(names: DataFrame, index: DataFrame, *, name: str = "name", slug: str = "slug", limit: int = 6, block: int = 6) -> DataFrame:
     """(name, slug, rank): for each squashed name the equal slug first, then the longest slugs that the name starts with, or that add at most two characters to it.
 
-    Both sides meet by their first characters, so the join is an equal join; slugs and names
-    below `block` characters match as a whole only.
+    Each name stands under all its beginnings of `block` characters or more, and each slug
+    under itself without its last one or two: equal joins on whole strings, in which a
+    common beginning meets one slug. Shorter ones match as a whole only.
     """
-    names, index = names.select(F.col(name).alias("name")).where("name <> ''").distinct(), index.select(F.col(slug).alias("slug")).distinct()
-    key = lambda c: F.substring(c, 1, block).alias("block")
-    near = names.where(F.length("name") >= block).select("name", key("name")).join(index.where(F.length("slug") >= block).select("slug", key("slug")), "block")
-    near = near.where((F.col("slug") != F.col("name")) & (F.startswith("name", "slug") | F.startswith("slug", "name") & (F.length("slug") - F.length("name") <= 2)))
-    found = names.join(index, F.col("name") == F.col("slug")).select("name", "slug", F.lit(1).alias("same")).unionByName(near.select("name", "slug", F.lit(0).alias("same")))
+    names, index = names.select(F.col(name).alias("name")).where("name <> ''").distinct(), index.select(F.col(slug).alias("slug")).where("slug <> ''").distinct()
+    starts = names.where(F.length("name") > block).select("name", F.explode(F.transform(F.sequence(F.lit(block), F.length("name") - 1), lambda n: F.substring("name", F.lit(1), n))).alias("slug"))
+    longer = index.where(F.length("slug") > block).select("slug", F.explode(F.array(F.lit(1), F.lit(2))).alias("n")).where(F.length("slug") - F.col("n") >= block)
+    longer = longer.select("slug", F.substring("slug", F.lit(1), F.length("slug") - F.col("n")).alias("name"))
+    found = names.join(index, F.col("name") == F.col("slug")).select("name", "slug", F.lit(1).alias("same"))
+    for near in (starts.join(index, "slug"), longer.join(names, "name")):
+        found = found.unionByName(near.select("name", "slug", F.lit(0).alias("same")))
     order = Window.partitionBy("name").orderBy(F.desc("same"), F.desc(F.length("slug")), "slug")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("same")
 
 
+def slug_index(boards: DataFrame, *, board: str = "board", slug: str = "slug", packed: str = "workday") -> DataFrame:
+    """(key, board, slug) of listed boards: the key is the squashed slug; of the `packed` board it is the tenant of tenant|instance|site, and others of it are left out."""
+    parts = F.split(F.col(slug), r"\|")
+    is_packed = F.col(board) == packed
+    rows = boards.select(F.regexp_replace(F.lower(F.when(is_packed, parts[0]).otherwise(F.col(slug))), "[^a-z0-9]", "").alias("key"), F.col(board).alias("board"), F.when(is_packed, F.array_join(parts, ":")).otherwise(F.col(slug)).alias("slug"), (~is_packed | (F.size(parts) == 3)).alias("whole"))
+    return rows.where("whole and key <> ''").drop("whole").distinct()
+
+
+def board_matches(names: DataFrame, index: DataFrame, *, name: str = "name", limit: int = 6, block: int = 6) -> DataFrame:
+    """(name, board, slug, rank): the boards of the keys that match each name, best key first, then by board and slug; `limit` counts boards."""
+    keys = prefix_matches(names, index, name=name, slug="key", limit=limit, block=block).withColumnsRenamed({"slug": "key", "rank": "key_rank"})
+    order = Window.partitionBy("name").orderBy("key_rank", "board", "slug")
+    return keys.join(index, "key").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("name", "board", "slug", "rank")
+
+
+def best_board(hits: DataFrame, name: str = "name") -> DataFrame:
+    """(name, board, slug, verified, status, also_live) of each name's hits: verified ones first, then by slug_rank and board_rank; the next three are also_live.
+
+    hits: name, board, slug, verified, slug_rank, board_rank. Without a verified one the status is unverified and nothing is also_live.
+    """
+    order = Window.partitionBy(name).orderBy(F.desc("verified"), "slug_rank", "board_rank", "board", "slug")
+    first = hits.withColumn("n", F.row_number().over(order)).where("n <= 4")
+    told = F.array_sort(F.collect_list(F.struct("n", "board", "slug", "verified")))
+    out = first.groupBy(name).agg(told.alias("h"))
+    best = F.col("h")[0]
+    others = F.array_join(F.transform(F.slice("h", 2, 3), lambda x: F.concat(x["board"], F.lit("/"), x["slug"])), ", ")
+    return out.select(name, best["board"].alias("board"), best["slug"].alias("slug"), best["verified"].alias("verified"), F.when(best["verified"], "live").otherwise("unverified").alias("status"), F.when(best["verified"], others).otherwise("").alias("also_live"))
+
+
+def names_company(company: Column, board: Column, declared: Column, body: Column, *, trusted: tuple[str, ...] = ("eightfold", "apple", "google"), declaring: str = "smartrecruiters") -> Column:
+    """Whether a board's text is of a company. Boards known by their host are trusted; a declared employer decides where there is one; else the squashed name, or its first six characters, must stand in the text outside addresses."""
+    squash = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "")
+    wanted, told, blob = squash(company), squash(declared), squash(F.regexp_replace(F.coalesce(body, F.lit("")), r"https?://\S+", " "))
+    stated = F.contains(told, wanted) | F.contains(wanted, told)
+    return (wanted == "") | board.isin(*trusted) | F.when((board == declaring) & (told != ""), stated).otherwise(F.contains(blob, wanted) | (F.length(wanted) > 5) & F.contains(blob, F.substring(wanted, 1, 6)))
+
+
 def slug_guesses(names: DataFrame, boards: list[str], *, name: str = "name") -> DataFrame:
     """(name, slug, board): each name's squashed and hyphened forms on every board, from a list of boards and without a join."""
     plain = F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))
