@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rolesift.functions import text
+from rolesift.functions import links, text
 from rolesift.operators import report, store
 from rolesift.plans.catalogue import query
 from rolesift.session import table
@@ -185,3 +185,14 @@ def posting_refresh_merged(spark, d):
     log = table(spark, d, "events").select(F.col("user_id").alias("posting_id"), F.col("event_id").alias("seq"), F.col("ts").alias("seen_at"), "event_type", "value")
     early = log.where("seen_at < timestamp '2024-01-16'")
     return store.current(log.where("seen_at >= timestamp '2024-01-16' or seen_at is null"), known=store.view(early))
+
+
+# Links put around a page by its page_id: two of one board, one of a board's maker, a packed one.
+_LINKED = """coalesce(html, '') || '<a href="https://boards.greenhouse.io/embed/job_board?for=Org' || CAST(page_id % 9 AS VARCHAR(9)) || '">' || CASE page_id % 3 WHEN 0 THEN '<a href="https://jobs.lever.co/Team-' || CAST(page_id AS VARCHAR(9)) || '/1"><a href="https://jobs.lever.co/search">' WHEN 1 THEN 'https://Big.wd5.myworkdayjobs.com/wday/cxs/big/Careers' || CAST(page_id AS VARCHAR(9)) || '/job https://jobs.lever.co/a' ELSE ' boards.greenhouse.io/zz_9 boards.greenhouse.io/embed boards.greenhouse.io/ZZ_9' END"""
+
+
+@query("board_links", """SELECT page_id, 'greenhouse/org' || (page_id % 9) || CASE page_id % 3 WHEN 0 THEN ' lever/team-' || page_id WHEN 1 THEN ' workday/big:wd5:Careers' || page_id ELSE ' greenhouse/zz_9' END AS links FROM pages""")
+def board_links(spark, d):
+    """Boards that pages link to; the tables' own pages link to none, so that the planted ones must come out alone."""
+    pages = table(spark, d, "pages").select("page_id", links.board_links(F.expr(_LINKED)).alias("found"))
+    return pages.select("page_id", F.array_join(F.transform("found", lambda x: F.concat(x["board"], F.lit("/"), x["slug"])), " ").alias("links"))

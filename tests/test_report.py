@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from rolesift.functions import links
 from rolesift.operators import report, store
 
 
@@ -132,3 +133,9 @@ def test_best_board(spark):
 def test_names_company(spark, company, board, declared, body, want):
     row = spark.createDataFrame([(company, board, declared, body)], "company string, board string, declared string, body string")
     assert row.select(store.names_company(*(F.col(c) for c in row.columns))).first()[0] is want
+
+
+def test_board_links(spark):
+    page = "job-boards.greenhouse.io/acme jobs.lever.co/A jobs.lever.co/Acme jobs.lever.co/acme/1 https://x.WD3.myworkdayjobs.com/Site_A careers.smartrecruiters.com/Big jobs.workable.com/api apply.workable.com/w-1 jobs.ashbyhq.com/q"
+    rows = spark.createDataFrame([(page,), (None,)], "html string").select(links.board_links("html").alias("l")).collect()
+    assert [tuple(x) for x in rows[0].l] == [("greenhouse", "acme"), ("lever", "acme"), ("smartrecruiters", "big"), ("workable", "w-1"), ("workday", "x:wd3:Site_A")] and rows[1].l == []
