@@ -351,3 +351,21 @@ def cities_in(rows: DataFrame, cities: DataFrame, text: str, *, key: str = "post
     pattern = r"\b(" + "|".join(sorted((re.escape(c.lower()) for c, _ in known), key=lambda x: (-len(x), x))) + r")\b"
     hits = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1)))
     return rows.select(key, F.transform(F.array_sort(F.transform(hits, lambda h: minutes[h])), lambda x: x["c"]).alias("cities"))
+
+
+# ---- screening what waits, and what is on record once more
+
+
+def screening_events(postings: DataFrame, outcomes: DataFrame, key: str = "posting_id") -> DataFrame:
+    """(key, state, reason, tracks) to append for the postings still new: screened, or rejected for a reason. outcomes: key, reason (null: passed), tracks, score."""
+    told = postings.where(F.col("state") == NEW).select(key).join(outcomes, key)
+    passed = F.col("reason").isNull()
+    why = F.when(passed, F.format_string("relevance %.1f", F.coalesce("score", F.lit(0.0)))).otherwise(F.col("reason"))
+    return told.select(key, F.when(passed, PREFILTERED).otherwise(REJECTED).alias("state"), why.alias("reason"), F.when(passed, F.col("tracks")).alias("tracks"))
+
+
+def moved_tracks(postings: DataFrame, outcomes: DataFrame, key: str = "posting_id") -> DataFrame:
+    """(key, before, after) of scored and shown postings that today's rules put on another list; those that no longer pass keep theirs. postings: key, state, tracks; tracks are comma-joined."""
+    known = postings.where(F.col("state").isin(EVALUATED, PRESENTED)).select(key, F.coalesce("tracks", F.lit("")).alias("before"))
+    fresh = outcomes.where("tracks <> ''").select(key, F.col("tracks").alias("after"))
+    return known.join(fresh, key).where("before <> after")

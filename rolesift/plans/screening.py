@@ -161,25 +161,35 @@ _SCREENED = f"""SELECT doc_id, score_a, score_b, CASE WHEN l.doc_id2 IS NOT NULL
 FROM (SELECT *, row_number() OVER (PARTITION BY source, source_id ORDER BY doc_id) AS n FROM ({_SCORED})) s LEFT JOIN (SELECT DISTINCT doc_id AS doc_id2 FROM labels WHERE quality = 0) l ON s.doc_id = l.doc_id2 LEFT JOIN ({_SEEN}) w ON s.source_id = w.user_id"""
 
 
-def screened(spark: SparkSession, d: str) -> DataFrame:
-    """Rows with reason (null: passed), tracks and flags. Gates of ids and dates come first, so that the texts of what they reject are never scored."""
+def screened(spark: SparkSession, d: str, only: DataFrame | None = None, on_record: bool = False) -> DataFrame:
+    """Rows with reason (null: passed), tracks and flags. Gates of ids and dates come first, so that the texts of what they reject are never scored; what is on record already (`on_record`) isn't asked for them. `only`: the doc_ids to screen."""
     rows = posted(spark, d)
+    rows = rows if only is None else rows.join(only.select("doc_id"), "doc_id", "left_semi")
+    if on_record:
+        known = {"skip": F.lit(False), "age": F.lit(0.0), "watched": F.lit(None).cast("double"), "first_sighting": F.lit(True)}
+        return gates.early_gates(rows.withColumns(known), PROFILE, EVERGREEN_DAYS)
     skip = table(spark, d, "labels").where("quality = 0").select("doc_id").distinct().withColumn("skip", F.lit(True))
     log = table(spark, d, "events").groupBy(F.col("user_id").alias("source_id")).agg(work.age_days(F.min("ts"), F.lit(AS_OF)).alias("watched"))
     seen = gates.with_sightings(rows, ["source", "source_id"], "doc_id", log, ["source_id"])
     return gates.early_gates(seen.join(skip, "doc_id", "left"), PROFILE, EVERGREEN_DAYS)
 
 
-@query("screening_reasons", f"SELECT doc_id, coalesce(reason, 'passed') AS reason, CASE WHEN reason IS NULL THEN tracks ELSE '' END AS tracks, flags FROM ({_SCREENED})")
-def screening_reasons(spark, d):
-    rows = screened(spark, d)
+def outcomes(spark: SparkSession, d: str, only: DataFrame | None = None, on_record: bool = False) -> DataFrame:
+    """(doc_id, reason, tracks, flags, score): the whole cascade; tracks and flags are comma-joined."""
+    rows = screened(spark, d, only, on_record)
     out, rest = rows.where("reason is not null"), rows.where("reason is null")
     rest = relevance.with_relevance(rest, "role", "body", {"a": _A, "b": _B})
     sides = gates.both_sides(F.col("matched_a"), list(profile.SIDE_FIRST), list(profile.SIDE_SECOND))
     core = F.arrays_overlap("matched_b", F.lit(list(profile.CORE_B)))
     rest = gates.with_tracks(rest.withColumns({"sides": sides, "core": core}), F.col("role"), PROFILE)
-    columns = ["doc_id", F.coalesce("reason", F.lit("passed")).alias("reason"), F.when(F.col("reason").isNull(), F.array_join("tracks", ",")).otherwise("").alias("tracks"), F.array_join("flags", ",").alias("flags")]
-    return out.withColumn("tracks", F.array().cast("array<string>")).select(*columns).unionByName(rest.select(*columns))
+    columns = ["doc_id", "reason", F.when(F.col("reason").isNull(), F.array_join("tracks", ",")).otherwise("").alias("tracks"), F.array_join("flags", ",").alias("flags")]
+    early = out.withColumn("tracks", F.array().cast("array<string>")).select(*columns, F.lit(None).cast("double").alias("score"))
+    return early.unionByName(rest.select(*columns, F.col("score_a").cast("double").alias("score")))
+
+
+@query("screening_reasons", f"SELECT doc_id, coalesce(reason, 'passed') AS reason, CASE WHEN reason IS NULL THEN tracks ELSE '' END AS tracks, flags FROM ({_SCREENED})")
+def screening_reasons(spark, d):
+    return outcomes(spark, d).select("doc_id", F.coalesce("reason", F.lit("passed")).alias("reason"), "tracks", "flags")
 
 
 @query("screening_funnel", f"SELECT coalesce(reason, 'passed') AS outcome, count(*) AS n FROM ({_SCREENED}) GROUP BY 1")

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from rolesift.plans import history, portals, reporting, screening  # noqa: F401 - they register their queries
+from rolesift.plans import history, portals, records, reporting, screening  # noqa: F401 - they register their queries
 from rolesift.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = Path("/root/testdata/sf0.01")
