@@ -56,21 +56,20 @@ def named(rows: DataFrame, taken: DataFrame | None = None, *, key: str = "postin
     key is an integer, one row each. A base that very many share is numbered in `spread`
     groups by the key, from the sums of the groups before: no task gets all rows of a base.
     """
-    narrow = rows.select(key, base).withColumn("__group", F.pmod(F.col(key), F.lit(spread)).cast("int"))
-    old, new, highest = None, narrow, F.lit(0)
+    told = rows.select(key, base).withColumn("__group", F.pmod(F.col(key), F.lit(spread)).cast("int"))
+    kept, highest = F.lit(None).cast("string"), F.lit(0)
     if taken is not None:
         mine = taken.select(F.col(key), _base_of("name").alias(base), F.col("name").alias("__kept")).dropDuplicates([key, base])
-        told = narrow.join(mine, [key, base], "left")
-        old, new = told.where("__kept is not null").select(key, F.col("__kept").alias("name")), told.where("__kept is null")
-    sums = new.groupBy(base, "__group").agg(F.count("*").alias("__n"))
+        told, kept = told.join(mine, [key, base], "left"), F.col("__kept")
+    sums = told.where(kept.isNull()).groupBy(base, "__group").agg(F.count("*").alias("__n"))
     if taken is not None:
         sums = sums.join(taken.groupBy(_base_of("name").alias(base)).agg(F.max(_number_of("name")).alias("__highest")), base, "left")
         highest = F.coalesce("__highest", F.lit(0))
     before = F.sum("__n").over(Window.partitionBy(base).orderBy("__group")) - F.col("__n") + highest
-    n = F.col("__before") + F.row_number().over(Window.partitionBy(base, "__group").orderBy(key))
+    n = F.col("__before") + F.sum(F.when(kept.isNull(), 1).otherwise(0)).over(Window.partitionBy(base, "__group").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
     name = F.when((n == 1) & ~F.col(base).rlike(r"-\d+$"), F.col(base)).otherwise(F.concat_ws("-", base, n.cast("string")))
-    made = new.join(sums.select(base, "__group", before.alias("__before")), [base, "__group"]).select(key, name.alias("name"))
-    return rows.join(made if old is None else made.unionByName(old), key)
+    made = told.join(sums.select(base, "__group", before.alias("__before")), [base, "__group"], "left").select(key, F.coalesce(kept, name).alias("name"))
+    return rows.join(made, key)
 
 
 def _base_of(name: str) -> Column:

@@ -175,7 +175,7 @@ def screened(spark: SparkSession, d: str, only: DataFrame | None = None, on_reco
 
 
 def outcomes(spark: SparkSession, d: str, only: DataFrame | None = None, on_record: bool = False) -> DataFrame:
-    """(doc_id, reason, tracks, flags, score): the whole cascade; tracks and flags are comma-joined."""
+    """(doc_id, reason, tracks, flags, score): the whole cascade; tracks and flags are comma-joined. Of what is on record only the rows that get as far as relevance are returned: others keep their tracks."""
     rows = screened(spark, d, only, on_record)
     out, rest = rows.where("reason is not null"), rows.where("reason is null")
     rest = relevance.with_relevance(rest, "role", "body", {"a": _A, "b": _B})
@@ -183,8 +183,10 @@ def outcomes(spark: SparkSession, d: str, only: DataFrame | None = None, on_reco
     core = F.arrays_overlap("matched_b", F.lit(list(profile.CORE_B)))
     rest = gates.with_tracks(rest.withColumns({"sides": sides, "core": core}), F.col("role"), PROFILE)
     columns = ["doc_id", "reason", F.when(F.col("reason").isNull(), F.array_join("tracks", ",")).otherwise("").alias("tracks"), F.array_join("flags", ",").alias("flags")]
-    early = out.withColumn("tracks", F.array().cast("array<string>")).select(*columns, F.lit(None).cast("double").alias("score"))
-    return early.unionByName(rest.select(*columns, F.col("score_a").cast("double").alias("score")))
+    judged = rest.select(*columns, F.col("score_a").cast("double").alias("score"))
+    if on_record:
+        return judged
+    return out.withColumn("tracks", F.array().cast("array<string>")).select(*columns, F.lit(None).cast("double").alias("score")).unionByName(judged)
 
 
 @query("screening_reasons", f"SELECT doc_id, coalesce(reason, 'passed') AS reason, CASE WHEN reason IS NULL THEN tracks ELSE '' END AS tracks, flags FROM ({_SCREENED})")
