@@ -49,6 +49,13 @@ from rolesift.llm.common import crc_mod, free_name, slices, texts, written
 END = b" "  # no word can be this
 WIDTH = 16  # outcomes of a softmax
 LEVELS = 3
+ONES = np.ones(WIDTH, np.float32)
+
+#: Bytes of a word up to which it is hashed eight bytes at a time, all words at once.
+SHORT = 64
+
+#: Words whose hash a task keeps, as two numbers each; when full it starts anew.
+HASHES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -64,30 +71,74 @@ class Params:
     tasks_per_core: int = 4  # tasks of a training round; each sends a whole table of changes
 
 
-class _Numbers(dict):
-    def __missing__(self, key: bytes) -> int:
-        self[key] = n = len(self)
-        return n
+class Hashes:
+    """The hashes of words met before, by the number that a block groups them by."""
+
+    def __init__(self) -> None:
+        self.group, self.hash = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def __call__(self, group: np.ndarray, data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """group: ascending, a word each, which is data[start:end]."""
+        if len(self.group) >= HASHES:
+            self.__init__()
+        at = np.searchsorted(self.group, group)
+        new = np.flatnonzero(np.append(self.group, 0)[at] != group) if len(self.group) else np.arange(len(group))
+        fresh = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)), np.uint64, len(new))
+        self.hash = np.insert(self.hash, at[new], fresh)
+        self.group = np.insert(self.group, at[new], group[new])
+        return self.hash[np.searchsorted(self.group, group)]
 
 
 class Block:
-    """The tokens of some texts: ids into the different words of the block, each text after three starts and with its end."""
-
-    def __init__(self, rows: list[str]):
-        get = _Numbers({END: 0})
-        pads, ids, starts = [-1, -1, -1], [], []
-        for x in rows:
-            words = x.encode("utf-8", "surrogatepass").lower().split()
-            ids.extend(pads)
-            starts.append(len(ids))
-            ids.extend(map(get.__getitem__, words))
-            ids.append(0)
-        self.words = list(get)
-        self.ids = np.array(ids, np.int64)
-        self.at = np.flatnonzero(self.ids >= 0)  # places of tokens
-        self.token = self.ids[self.at]
-        self.doc = np.repeat(np.arange(len(rows)), np.diff([*starts, len(ids) + 3]) - 3) if rows else np.zeros(0, np.int64)
-        self.hash = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words)).view(np.int64)
+    """The tokens of some texts: ids into the different words of the block, each text after three starts and with its end (word 0)."""
+
+    def __init__(self, rows: list[str], hashes: Hashes):
+        coded = [x.encode("utf-8", "surrogatepass") for x in rows]
+        pad = b" " * 8
+        data = pad + b" ".join(coded).lower() + pad
+        raw = np.frombuffer(data, np.uint8)
+        space = (raw == 32) | (raw - np.uint8(9) < np.uint8(5))
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        start, end = edge[::2], edge[1::2]
+        eights = np.ndarray(len(raw) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place on
+        word, one, group = self._grouped(start, end - start, eights, data)
+        left = np.uint64(8) * (8 - np.minimum(end[one] - start[one], 8)).astype(np.uint64)
+        self.hash = np.append(np.uint64(xxhash.xxh3_64_intdigest(END)), hashes(group, data, start[one], end[one])).view(np.int64)
+        self.ending = np.append(endings([END]), eights[end[one] - 8] >> left << left)
+        begins = len(pad) + np.cumsum([0, *(len(x) + 1 for x in coded)])
+        size = np.diff(np.searchsorted(start, begins)) + 1
+        self.doc = np.repeat(np.arange(len(rows)), size)
+        self.at = np.arange(len(self.doc)) + 3 * (self.doc + 1)  # places of tokens
+        self.token = np.zeros(len(self.doc), np.int64)
+        inner = np.ones(len(self.doc), bool)
+        inner[np.cumsum(size) - 1] = False
+        self.token[inner] = word + 1
+        self.ids = np.full(len(self.doc) + 3 * len(rows), -1)
+        self.ids[self.at] = self.token
+
+    @staticmethod
+    def _grouped(start: np.ndarray, size: np.ndarray, eights: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of each word's group of equal words (by 64 bits, as everywhere), one word of each group and what it is grouped by."""
+        h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for k in range(0, SHORT, 8):
+            at = np.flatnonzero(size > k) if k else np.arange(len(size))
+            if not at.size:
+                break
+            there = np.minimum(size[at] - k, 8).astype(np.uint64)
+            x = h[at] ^ (eights[start[at] + k] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * there)))
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0x94D049BB133111EB)
+            h[at] = x ^ x >> np.uint64(29)
+        for i in np.flatnonzero(size > SHORT).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(data[start[i] : start[i] + size[i]])
+        order = np.argsort(h)
+        there = h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = there[1:] != there[:-1]
+        word = np.empty(len(h), np.int64)
+        word[order] = np.cumsum(new) - 1
+        return word, order[new], there[new]
 
 
 def endings(words: list[bytes]) -> np.ndarray:
@@ -156,36 +207,43 @@ def digits(leaf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(leaf >> (4 * (LEVELS - k)), leaf >> (4 * (LEVELS - 1 - k)) & (WIDTH - 1)) for k in range(LEVELS)]
 
 
-def log_softmax(start: np.ndarray, weights: np.ndarray, context: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Tokens x WIDTH. take is several times as fast as indexing; sums beyond 60 either way count as 60, so that no maximum is needed."""
+def logits(start: np.ndarray, weights: np.ndarray, context: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Tokens x WIDTH, before they are made to add up to one. take is several times as fast as indexing; sums beyond 60 either way count as 60, so that no maximum is needed."""
     z = start.take(context, axis=0)
     for k in range(rows.shape[0]):
         z += weights.take(rows[k].astype(np.intp), axis=0)
-    np.clip(z, -60, 60, out=z)
-    z -= np.log(np.exp(z) @ np.ones(WIDTH, np.float32))[:, None]
-    return z
+    return np.clip(z, -60, 60, out=z)
+
+
+def counts_of(h: np.ndarray, c: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array((e ^ np.uint64(1 << 63)).view(np.int64))], names=["h", "c", "e"])
 
 
 def count_tokens(rows: DataFrame, p: Params) -> DataFrame:
     """(h, c, e): exact counts by hash, and the ending (as a long with the sign bit turned)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, int] = {}
+        held, size, hashes = [], 0, Hashes()
 
-        def out() -> pa.RecordBatch:
-            words = list(held)
-            return pa.RecordBatch.from_arrays([pa.array(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)), pa.array(list(held.values()), pa.int64()), pa.array((endings(words) ^ np.uint64(1 << 63)).view(np.int64))], names=["h", "c", "e"])
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            h, c, e = map(np.concatenate, zip(*held, strict=True))
+            order = np.argsort(h)
+            h = h[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            return h[first], np.add.reduceat(c[order], first), e[order[first]]
 
         for part in slices(batches, text="__text"):
-            block = Block(texts(part, "__text"))
-            for w, n in zip(block.words, np.bincount(block.token, minlength=len(block.words)).tolist(), strict=True):
-                if n:
-                    held[w] = held.get(w, 0) + n
-            if len(held) >= p.flush:
-                yield out()
-                held.clear()
+            block = Block(texts(part, "__text"), hashes)
+            held.append((block.hash, np.bincount(block.token, minlength=len(block.hash)), block.ending))
+            size += len(block.hash)
+            if size >= 2 * p.flush:
+                held = [merged()]
+                size = len(held[0][0])
+                if size >= p.flush:
+                    yield counts_of(*held[0])
+                    held, size = [], 0
         if held:
-            yield out()
+            yield counts_of(*merged())
 
     counted = rows.select("__text").mapInArrow(run, "h long, c long, e long")
     return counted.groupBy("h").agg(F.sum("c").alias("c"), F.min("e").alias("e"))
@@ -253,23 +311,30 @@ def starts_of(totals: np.ndarray) -> list[np.ndarray]:
 
 def update(w: np.ndarray, seen: np.ndarray, rows: np.ndarray, d: np.ndarray, rate: float) -> None:
     """One Adagrad step on the rows, given each token's gradient (tokens x WIDTH)."""
-    flat = rows.reshape(-1)
-    order = np.argsort(flat, kind="stable")  # 16-bit numbers: a radix sort
-    there = flat.take(order)
-    first = np.flatnonzero(np.concatenate([[True], there[1:] != there[:-1]]))
-    token, size = order % d.shape[0], np.diff(first, append=len(flat))
+    # Row and token as one number: sorting them is faster than finding the order.
+    bits = (d.shape[0] - 1).bit_length()
+    kind = np.uint32 if bits <= 16 else np.uint64
+    key = (rows.astype(kind) << kind(bits) | np.arange(d.shape[0], dtype=kind)).reshape(-1)
+    key.sort()
+    there, token = key >> kind(bits), (key & kind((1 << bits) - 1)).astype(np.intp)
+    new = np.concatenate([[True], there[1:] != there[:-1], [True]])
+    first = np.flatnonzero(new)
+    size, first = np.diff(first), first[:-1]
     # Most rows stand for one token; only the others need sums.
     grad = d.take(token.take(first), axis=0)
     many = np.flatnonzero(size > 1)
     if many.size:
-        part = d.take(token[np.repeat(size > 1, size)], axis=0)
-        cell = np.repeat(np.arange(len(many)) * WIDTH, size[many])[:, None] + np.arange(WIDTH)
-        put(grad, many, np.bincount(cell.reshape(-1), weights=part.reshape(-1)).astype(np.float32).reshape(-1, WIDTH))
+        sums = d.take(token[~(new[1:] & new[:-1])], axis=0).astype(np.float64)
+        np.cumsum(sums, axis=0, out=sums)
+        sums = sums.take(np.cumsum(size[many]) - 1, axis=0)
+        put(grad, many, np.diff(sums, axis=0, prepend=0.0).astype(np.float32))
     at = there.take(first).astype(np.intp)
     total = seen.take(at) + np.einsum("ij,ij->i", grad, grad)
     seen[at] = total
     grad *= (rate / np.sqrt(total))[:, None]
-    put(w, at, w.take(at, axis=0) - grad)
+    moved = w.take(at, axis=0)
+    moved -= grad
+    put(w, at, moved)
 
 
 def put(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
@@ -289,14 +354,17 @@ def train_weights(rows: DataFrame, words: Words, start: list[np.ndarray], p: Par
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             words, start, before = shared.value
             w, seen, tokens = before.copy(), np.full((LEVELS, p.rows), 1e-2, np.float32), 0
+            hashes = Hashes()
             for part in slices(batches, text="__text"):
-                block = Block(texts(part, "__text"))
-                f, leaf = history(block), words.leaf(endings(block.words))[block.token]
+                block = Block(texts(part, "__text"), hashes)
+                f, leaf = history(block), words.leaf(block.ending)[block.token]
                 for at in range(0, len(leaf), p.batch):
                     g, y = f[:, at : at + p.batch], leaf[at : at + p.batch]
                     for k, (context, outcome) in enumerate(digits(y)):
                         rows_ = level_rows(g, context, k, p.rows)
-                        d = np.exp(log_softmax(start[k], w[k], context, rows_))
+                        d = logits(start[k], w[k], context, rows_)
+                        np.exp(d, out=d)
+                        d *= (1 / (d @ ONES))[:, None]
                         d[np.arange(len(y)), outcome] -= 1
                         update(w[k], seen[k], rows_, d, p.rate)
                     tokens += len(y)
@@ -325,14 +393,16 @@ def train(docs: DataFrame, params: Params = Params(), *, key: str = "doc_id", te
     return Model(p, words, start, train_weights(rows, words, start, p), np.log10(in_leaf.sum(axis=0) + 1.0), totals["n"], totals["v"], counts.select("h", "c"))
 
 
-def token_logs(block: Block, words: Words, start: list[np.ndarray], weights: np.ndarray, p: Params) -> np.ndarray:
+def token_logs(block: Block, leaf: np.ndarray, start: list[np.ndarray], weights: np.ndarray, p: Params) -> np.ndarray:
     """log10 P(leaf | history) of each token."""
-    f, leaf = history(block), words.leaf(endings(block.words))[block.token]
+    f = history(block)
     out = np.zeros(len(leaf))
     for at in range(0, len(leaf), p.batch):
         g, y = f[:, at : at + p.batch], leaf[at : at + p.batch]
         for k, (context, outcome) in enumerate(digits(y)):
-            out[at : at + len(y)] += log_softmax(start[k], weights[k], context, level_rows(g, context, k, p.rows))[np.arange(len(y)), outcome]
+            z = logits(start[k], weights[k], context, level_rows(g, context, k, p.rows))
+            out[at : at + len(y)] += z[np.arange(len(y)), outcome]
+            out[at : at + len(y)] -= np.log(np.exp(z, out=z) @ ONES)
     return out / np.log(10)
 
 
@@ -345,18 +415,20 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, start, weights, log_total = shared.value
+        hashes = Hashes()
         at = TaskContext.get().partitionId() << 33
         for part in slices(batches, text=source):
-            block, n = Block(texts(part, source)), part.num_rows
+            block, n = Block(texts(part, source), hashes), part.num_rows
             count, there = words.find(block.hash)
             counted = np.where(there, np.log10(count + 1.0), 0.0)
-            within = counted - log_total[words.leaf(endings(block.words))]
+            leaf = words.leaf(block.ending)
+            within = counted - log_total[leaf]
             sums = lambda v, d=block.doc, n=n: np.bincount(d, weights=v, minlength=n)
             left = ~there[block.token]
             cuts = np.concatenate([[0], np.cumsum(sums(left))]).astype(np.int32)
             rest = pa.ListArray.from_arrays(pa.array(cuts), pa.array(block.hash[block.token[left]]))
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in keep), pa.array(at + np.arange(n)), pa.array(np.bincount(block.doc, minlength=n)), pa.array(np.rint(sums(~left)).astype(np.int64)), pa.array(sums(counted[block.token])), pa.array(sums(token_logs(block, words, start, weights, p) + within[block.token])), rest],
+                [*(part.column(c) for c in keep), pa.array(at + np.arange(n)), pa.array(np.bincount(block.doc, minlength=n)), pa.array(np.rint(sums(~left)).astype(np.int64)), pa.array(sums(counted[block.token])), pa.array(sums(token_logs(block, leaf[block.token], start, weights, p) + within[block.token])), rest],
                 names=[*keep, row, "n_tokens", known, base, own, rare],
             )
             at += n

@@ -94,3 +94,35 @@ def test_no_rows(spark):
     assert lm.score(none, model).count() == 0
     only = lm.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model).first()
     assert (only.n_tokens, only.n_known, only.train_tokens) == (3, 0, 0) and only.base_score == 0
+
+
+def test_blocks_are_words_of_plain_splits_hashed_once_a_task(monkeypatch):
+    rows = ["", "A a\tB\x0bb\x0c\r\n\x1c\x85 \x00 \x00\x00", "é" * 40 + " É x" + "y" * 64, "q" * 64 + " " + "q" * 65 + " " + "q" * 65, " ", "\udc80 a", " ".join(f"w{i % 300}" for i in range(900))]
+    calls, digest = Counter(), lm.xxhash.xxh3_64_intdigest
+    counted = lambda x: calls.update([bytes(x)]) or digest(x)
+    hashes = lm.Hashes()
+    monkeypatch.setattr(lm.xxhash, "xxh3_64_intdigest", counted)
+    for part in (rows[:3], rows[3:], rows, []):
+        block = lm.Block(part, hashes)
+        want = [(i, w) for i, x in enumerate(part) for w in [*x.encode("utf-8", "surrogatepass").lower().split(), lm.END]]
+        assert block.doc.tolist() == [i for i, _ in want]
+        assert block.hash.view(np.uint64)[block.token].tolist() == [digest(w) for _, w in want]
+        assert block.ending[block.token].tolist() == lm.endings([w for _, w in want]).tolist() if want else not len(block.token)
+        assert len(set(block.hash.tolist())) == len(block.hash) == len({lm.END, *(w for _, w in want)})
+    assert all(n == 1 for w, n in calls.items() if w != lm.END and len(w) <= lm.SHORT)
+
+
+@pytest.mark.parametrize("tokens", [1, 2, 37, 70_000])
+def test_an_update_adds_up_repeated_rows(tokens):
+    r = np.random.default_rng(tokens)
+    rows = r.integers(0, 50, (4, tokens)).astype(np.uint16)
+    d = r.normal(size=(tokens, lm.WIDTH)).astype(np.float32)
+    w, seen = r.normal(size=(64, lm.WIDTH)).astype(np.float32), np.full(64, 1e-2, np.float32)
+    want, sums = w.astype(float), np.zeros((64, lm.WIDTH))
+    for k in range(4):
+        np.add.at(sums, rows[k], d)
+    there = np.unique(rows)
+    total = 1e-2 + (sums[there] ** 2).sum(axis=1)
+    want[there] -= sums[there] * (0.1 / np.sqrt(total))[:, None]
+    lm.update(w, seen, rows, d, 0.1)
+    assert np.allclose(w, want, atol=1e-4) and np.allclose(seen[there], total, rtol=1e-3)
