@@ -18,10 +18,10 @@ from __future__ import annotations
 
 import base64
 import bisect
-import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +33,16 @@ from rolesift.llm.common import free_name, kept_in_worker, slices, texts
 #: Pieces before an edit that are cut anew: a contraction (x ' l l) spans three.
 RECUT = 4
 
-#: Entries of a worker's cache of encoded words; when full it starts anew.
-CACHE_WORDS = 250_000
+#: Pieces of a worker's cache, and their ids; when it is full, half of it stays, the most used ones.
+CACHE_PIECES = 250_000
+CACHE_IDS = 4_000_000
+
+
+def spans(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places start, start + 1, ... of each span, all in one array, and where each span begins in it, with its end."""
+    begins = np.concatenate([[0], np.cumsum(size)])
+    kind = np.int32 if max(begins[-1], start.max(initial=0) + size.max(initial=0)) < 1 << 31 else np.int64
+    return np.arange(begins[-1], dtype=kind) + np.repeat((start - begins[:-1]).astype(kind), size), begins
 
 
 class Vocabulary:
@@ -57,6 +65,7 @@ class Vocabulary:
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._edges: tuple[dict, dict] = ({}, {})
         self._stable: dict[tuple[int, int], bool] = {}
+        self._table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def merged(self, data: bytes) -> tuple[list[int], tuple[int, int] | None]:
         """Plain merging, lowest rank first and leftmost first: the tokens and the last pair merged. Used on single tokens only."""
@@ -179,7 +188,8 @@ class Vocabulary:
     def encode_pieces(self, pieces: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """Encodings of different pieces. In byte order, each piece takes over the table entries of the prefix that it shares with the one before."""
         out, before, known = {}, b"", [-1]
-        for data, piece in sorted((p.encode(), p) for p in pieces):
+        for piece in sorted(pieces):  # code points and their UTF-8 bytes have one order
+            data = piece.encode()
             whole = self.ranks.get(data)
             if whole is not None:
                 out[piece] = (whole,)
@@ -198,6 +208,16 @@ class Vocabulary:
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def bytes_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids one after the other, and where each id's bytes begin, with their end."""
+        if self._table is None:
+            size = np.zeros(max(self.tokens, default=-1) + 1, np.int64)
+            size[list(self.tokens)] = list(map(len, self.tokens.values()))
+            self._table = np.frombuffer(b"".join(self.tokens[i] for i in sorted(self.tokens)), np.uint8), np.cumsum(size) - size, size
+        data, start, size = self._table
+        at, begins = spans(start[ids], size[ids])
+        return data[at], begins
+
 
 class PieceTable:
     """The table of one piece, kept for appends and edits."""
@@ -266,48 +286,68 @@ class EncodedText:
         return [i for _, ids in self.pieces for i in ids]
 
 
+class _Numbers(dict):
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class TextEncoder:
-    """Encodes whole texts, many at a time, with a bounded cache of what stands between single spaces.
+    """Encodes whole texts, many at a time, with a bounded cache of pieces: each has a number, and its ids lie in one array.
 
-    The pattern always cuts before a single space between two non-spaces, so the stretches
-    between those can be encoded one by one. `encode_pieces` (pieces to ids) may be another
-    encoder of the same vocabulary.
+    `encode_pieces` (pieces to ids) may be another encoder of the same vocabulary.
     """
 
-    _runs = re.compile(r" \s|\s ")
-    _before_single_space = re.compile(r"(?<=\S)(?= \S)")
-
     def __init__(self, vocabulary: Vocabulary, encode_pieces: Callable[[Iterable[str]], dict[str, tuple[int, ...]]] | None = None):
         self.vocabulary = vocabulary
         self.encode_pieces = encode_pieces or vocabulary.encode_pieces
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def stretches(self, text: str) -> list[str]:
-        if self._runs.search(text):
-            return self._before_single_space.split(text)
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else self._before_single_space.split(text)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = _Numbers()
+        self.ids = np.zeros(0, np.int32)
+        self.start, self.size, self.used = (np.zeros(0, np.int64) for _ in range(3))
+
+    def trim(self) -> None:
+        """Where the cache is full, keeps the most used pieces, up to half of what it may hold."""
+        if len(self.known) < CACHE_PIECES and len(self.ids) < CACHE_IDS:
+            return
+        keep = np.argsort(-self.used, kind="stable")[: CACHE_PIECES // 2]
+        keep = keep[np.cumsum(self.size[keep]) <= CACHE_IDS // 2]
+        names = list(self.known)
+        self.known = _Numbers((names[i], k) for k, i in enumerate(keep.tolist()))
+        at, begins = spans(self.start[keep], self.size[keep])
+        self.ids, self.start, self.size, self.used = self.ids[at], begins[:-1], self.size[keep], self.used[keep] // 2
+
+    def add(self, pieces: list[str]) -> None:
+        """Encodes pieces that have numbers, but no ids yet."""
+        found = self.encode_pieces(pieces)
+        size = np.fromiter((len(found[p]) for p in pieces), np.int64, len(pieces))
+        fresh = np.fromiter(chain.from_iterable(map(found.__getitem__, pieces)), np.int32, int(size.sum()))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, fresh])
+        self.used = np.concatenate([self.used, np.zeros(len(pieces), np.int64)])
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text begins, with their end."""
+        self.trim()
+        cut = list(map(self.vocabulary.split, texts))
+        begins = np.cumsum([0, *map(len, cut)])
+        before = len(self.known)
+        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(begins[-1]))
+        if len(self.known) > before:
+            try:
+                self.add(list(islice(self.known, before, None)))
+            except ValueError:  # a byte without a rank: no piece may stay without its ids
+                self.clear()
+                raise
+        self.used += np.bincount(number, minlength=len(self.used))
+        at, ends = spans(self.start[number], self.size[number])
+        return self.ids[at], ends[begins]
 
     def many(self, texts: list[str]) -> list[list[int]]:
-        cut = [self.stretches(x) for x in texts]
-        found = set(chain.from_iterable(cut))
-        if len(self.known) + len(found) > CACHE_WORDS:
-            hot = {w: self.known[w] for w in found if w in self.known}
-            self.known = hot
-        new = found - self.known.keys()
-        # A stretch of a space and letters is one piece of the pattern; others are cut by it.
-        split, pieces = {}, set()
-        for w in new:
-            parts = (w,) if w[1:].isalpha() and w[0] == " " else self.vocabulary.split(w)
-            split[w] = parts
-            pieces.update(parts)
-        ids = self.encode_pieces(pieces)
-        for w, parts in split.items():
-            self.known[w] = ids[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, parts)))
-        get = self.known.__getitem__
-        out = [list(chain.from_iterable(map(get, x))) for x in cut]
-        if len(self.known) > CACHE_WORDS:  # one batch of more words than the cache may hold
-            self.known = {}
-        return out
+        ids, begins = self.flat(texts)
+        return [ids[a:b].tolist() for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
 
     def __call__(self, text: str) -> list[int]:
         return self.many([text])[0]
@@ -337,14 +377,12 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shared.value, pattern)
-        decode = encoder.vocabulary.decode
         for part in slices(batches, rows=1000, chars=2_000_000, text=name):
-            ids = encoder.many(texts(part, name))
-            decoded = pa.array(map(decode, ids), pa.binary())
-            offsets = [0]
-            for x in ids:
-                offsets.append(offsets[-1] + len(x))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(chain.from_iterable(ids), pa.int32(), size=offsets[-1]))
+            ids, begins = encoder.flat(texts(part, name))
+            data, at = encoder.vocabulary.bytes_of(ids)
+            offsets, places = pa.array(begins, pa.int32()), pa.array(at[begins], pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.array(ids))
+            decoded = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, places.buffers()[1], pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists, decoded], names=[*keep, "token_ids", "decoded"])
 
     return source.mapInArrow(run, schema)
