@@ -27,8 +27,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 from functools import reduce
 from urllib.parse import urlparse
@@ -98,11 +99,11 @@ def unfeistel(y: np.ndarray, n: int, p: Params) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def qualified(spark: SparkSession, folder: str) -> str:
-    """The folder with its scheme, by Spark's own file systems. A local path is taken in local mode, or with the scheme file: for a mount that all machines share."""
+def qualified(spark: SparkSession, folder: str, shared: bool = False) -> str:
+    """The folder with its scheme, by Spark's own file systems. A local path is taken in local mode, where it is said to be shared, or with the scheme file: for a mount that all machines share."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    if full.startswith("file:") and not folder.startswith("file:") and not spark.sparkContext.master.startswith("local["):
+    if full.startswith("file:") and not shared and not folder.startswith("file:") and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError(f"{folder} is local to each machine")
     return full
 
@@ -116,9 +117,12 @@ def _store(folder: str) -> tuple[pafs.FileSystem, str]:
 
 _encoders: dict[int, object] = {}
 
+#: White space in a row that the library's pattern matching surely takes; its stack overflows from 999,999 characters on.
+LIBRARY_SPACE = 900_000
+
 
 def _encoder(ranks: bytes, pattern: str):
-    """The compiled library with these ranks; it takes whole texts."""
+    """The compiled library with these ranks."""
     key = hash((ranks, pattern))
     if key not in _encoders:
         import tiktoken
@@ -129,13 +133,25 @@ def _encoder(ranks: bytes, pattern: str):
     return _encoders[key]
 
 
+def _encode(ranks: bytes, pattern: str) -> Callable[[str], list[int]]:
+    """Ids of a whole text, by the library, or by op4's encoder, whose ids are the same, where white space would overflow the library's stack."""
+    library = _encoder(ranks, pattern).encode_ordinary
+
+    def run(text: str) -> list[int]:
+        if len(text) > LIBRARY_SPACE and any(m.end() - m.start() > LIBRARY_SPACE for m in re.finditer(r"\s+", text)):
+            return bpe.worker_encoder(ranks, pattern)(text)
+        return library(text)
+
+    return run
+
+
 def encoded_rows(docs: DataFrame, ranks: bytes, pattern: str, p: Params, *, key: str, text: str) -> DataFrame:
     """(task, within, doc_id, n_tokens, ids), tasks and the rows in them in the order of the corpus: the tokens of each row as little-endian 16-bit numbers, its end token included; within: the sequences of the rows before it in its task."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumn("__hash", F.xxhash64("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, within = _encoder(shared.value, pattern).encode_ordinary, TaskContext.get().partitionId(), 0
+        encode, task, within = _encode(shared.value, pattern), TaskContext.get().partitionId(), 0
         for part in slices(batches, rows=1000, chars=2_000_000, text="__text"):
             data = [np.array([*encode(x), p.end], "<u2").tobytes() for x in part.column("__text").to_pylist()]
             size = np.array([len(x) // 2 for x in data], np.int64)
@@ -151,7 +167,8 @@ def encoded_rows(docs: DataFrame, ranks: bytes, pattern: str, p: Params, *, key:
 def materialise(docs: DataFrame, ranks: bytes, pattern: str, p: Params = Params(), *, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """Writes the shards and the manifest to `folder` (in the shared folder by default) and returns a row for every sequence: slot, shard, offset (bytes), doc_id, part, n_tokens (fill left out), sha256 of its bytes as read back from the file."""
     spark = docs.sparkSession
-    folder = qualified(spark, folder or scratch_path(spark, "shards"))
+    # The folder for scratch tables is shared whatever its scheme.
+    folder = qualified(spark, folder or scratch_path(spark, "shards"), shared=folder is None)
     if max(p.end, p.fill) >= 1 << 16:
         raise ValueError("ids of the end and fill tokens must fit 16 bits")
     encoded = written(encoded_rows(docs, ranks, pattern, p, key=key, text=text), "encoded", "zstd")

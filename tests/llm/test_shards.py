@@ -4,9 +4,11 @@ import base64
 
 import numpy as np
 import pytest
+import regex
 import tiktoken
 
 from rolesift.llm import bpe, token_shards
+from rolesift.llm.common import shared_dir
 
 P = token_shards.Params(length=8, shard=16, passes=3)
 
@@ -52,3 +54,27 @@ def test_a_repeated_task_leaves_the_same_files(spark, rows, tmp_path):
     before = {f.name: f.read_bytes() for f in (tmp_path / "a").iterdir()}
     made(spark, rows, tmp_path / "a", 5)
     assert before == {f.name: f.read_bytes() for f in (tmp_path / "a").iterdir()}
+
+
+def test_more_white_space_in_a_row_than_the_library_takes(spark, tmp_path):
+    text = "word" + " " * 1_000_001 + "x" + "\n" * 1_000_000
+    params = token_shards.Params(length=4096, shard=16, passes=1)
+    ranks, pattern = bpe.default_ranks()
+    frame = spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string")
+    found = token_shards.materialise(frame, ranks, pattern, params, folder=str(tmp_path / "w")).collect()
+    whole = token_shards.ShardReader(str(tmp_path / "w")).read(0, len(found))
+    ids = np.concatenate([whole[r.slot, : r.n_tokens] for r in sorted(found, key=lambda r: r.part) if r.doc_id == 1]).tolist()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines() if x)}, special_tokens={})
+    with pytest.raises(BaseException, match="StackOverflow"):
+        library.encode_ordinary(text)
+    assert ids == [*(i for piece in regex.findall(pattern, text) for i in library._encode_single_piece(piece)), params.end]
+
+
+def test_the_shared_folder_needs_no_scheme(spark, rows, tmp_path, monkeypatch):
+    assert shared_dir(spark)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(token_shards.materialise(frame, *bpe.default_ranks(), P).collect())
+    monkeypatch.setattr(spark.sparkContext, "master", "local-cluster[2,1,1024]")
+    assert sorted(token_shards.materialise(frame, *bpe.default_ranks(), P).collect()) == want
+    with pytest.raises(ValueError, match="local to each machine"):
+        token_shards.materialise(frame, *bpe.default_ranks(), P, folder=str(tmp_path / "own"))
